@@ -417,14 +417,18 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", i
     return _run(source, ranks, BYTE_LEVEL_PATTERN, id_col, "_ids", lambda codec: each(lambda ids: one(codec, ids)), string_fields("text"))
 
 
-def token_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str = BYTE_LEVEL_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256): the round trip of each text in one pass."""
+def token_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str = BYTE_LEVEL_PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256): the round trip of each text in one pass.
+
+    ``with_ids`` adds the packed ids themselves. What holds for encode_texts holds here.
+    """
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
     def make(codec: Codec) -> Callable[[list[str]], list[tuple]]:
-        return lambda texts: [(len(x) // 4, digest(x), digest(codec.decode(x))) for x in codec.pack_all(texts)]
+        return lambda texts: [(len(x) // 4, digest(x), digest(codec.decode(x)), x) for x in codec.pack_all(texts)]
 
-    return _run(df, ranks, pattern, id_col, text_col, make, [*long_fields("n_tokens"), *string_fields("ids_sha256", "decoded_sha256")])
+    ids = [T.StructField("ids", T.BinaryType())] if with_ids else []
+    return _run(df, ranks, pattern, id_col, text_col, make, [*long_fields("n_tokens"), *string_fields("ids_sha256", "decoded_sha256"), *ids])
 
 
 def _run(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, make: Callable, fields: list) -> DataFrame:

@@ -60,31 +60,34 @@ def map_texts(
     text_col: str,
     make: Callable[[], Callable[[list[str]], list[tuple]]],
     fields: list[T.StructField],
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per input row: the id and a value for each field.
+    """One row per input row: the id and a value for each field; with ``carry``, all of its columns and then
+    the fields, whose names must not be among them.
 
     ``make()`` gives a function from a list of texts to as many tuples; it runs once per task in the
-    Python worker, so it may read a broadcast or build tables. Only the two named columns reach Python;
-    a null text counts as empty; ids, null or repeated, pass through.
+    Python worker, so it may read a broadcast or build tables. Without ``carry`` only the two named columns
+    reach Python; a null text counts as empty; ids, null or repeated, pass through.
     """
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *fields])
+    kept = df.columns if carry else [id_col]
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     arrow = [_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in _slices(batch):
-                rows = work(part.column(1).to_pylist())
+            for part in _slices(batch, len(kept)):
+                rows = work(part.column(len(kept)).to_pylist())
                 columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=schema.names)
 
-    texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    texts = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return texts.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of SLICE_ROWS rows, fewer where texts are long: about SLICE_BYTES but at least one row."""
-    sizes = pc.binary_length(batch.column(1)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = held = 0
     for at, size in enumerate(sizes):
         if at > start and (at - start >= SLICE_ROWS or held + size > SLICE_BYTES):
@@ -124,3 +127,10 @@ def string_fields(*names: str) -> list[T.StructField]:
 def host_of(url: Column) -> Column:
     """The lower-case host of a URL, without user and port; '' where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """``stem`` with as many underscores before it as no column of ``df`` begins with."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
