@@ -366,7 +366,7 @@ def format_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- similarity and selection -------------------------------------------------------------------------
 
-_SETS = "s AS (SELECT item_id, length(text) AS len, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS ks FROM benchmark)"
+_SETS = "s AS (SELECT item_id, length(text) AS len, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS ks FROM benchmark)"
 _PAIRS = _SETS + ", p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.ks, b.ks)) AS i, len(a.ks) + len(b.ks) AS n FROM s a JOIN s b ON a.item_id < b.item_id), j AS (SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE i >= 0.2 * (n - i))"
 
 
@@ -381,7 +381,7 @@ def kmer_rarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.jaccard_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 5, 0.2)
+    return similarity.jaccard_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 3, 0.2)
 
 
 @query("WITH " + _PAIRS + " SELECT a, b, similarity FROM j")

@@ -39,10 +39,11 @@ def read_idmapping(spark: SparkSession, path: str) -> DataFrame:
 def read_accession2taxid(spark: SparkSession, path: str) -> DataFrame:
     """Rows (accession, taxon_id): each accession with and without its version, distinct."""
     rows = spark.read.csv(path, sep="\t", header=True)
-    first, second = rows.columns[:2]
-    taxon = next((c for c in rows.columns if "taxid" in c.lower()), rows.columns[2])
-    both = F.array_distinct(F.array(first, second, F.regexp_replace(F.col(second), r"\.[^.]*$", "")))
-    return rows.select(F.explode(both).alias("accession"), F.col(taxon).cast("long").alias("taxon_id")).where("accession is not null").distinct()
+    names = [c.lower() for c in rows.columns]
+    taxon = next((k for k, c in enumerate(names) if "taxid" in c), 2)
+    rows = rows.toDF(*(f"c{k}" for k in range(len(names))))
+    both = F.array_distinct(F.array("c0", "c1", F.regexp_replace("c1", r"\.[^.]*$", "")))
+    return rows.select(F.explode(both).alias("accession"), F.col(f"c{taxon}").cast("long").alias("taxon_id")).where("accession is not null").distinct()
 
 
 def read_m8(spark: SparkSession, path: str) -> DataFrame:
