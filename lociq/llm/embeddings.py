@@ -23,6 +23,8 @@ from lociq.llm.components import components
 
 #: Pivots at most: they are a bounded sample of the vectors, broadcast to all tasks.
 MOST_PIVOTS = 4096
+#: Cosine under which two pivots stay: near copies of one vector would share its list among them.
+PIVOTS_APART = 0.7
 #: Vectors of an inverted list in one block.
 BLOCK = 512
 
@@ -66,6 +68,16 @@ def _matrix(units: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(units), "<f8").reshape(len(units), dim)
 
 
+def spread(candidates: np.ndarray, wanted: int) -> np.ndarray:
+    """The first ``wanted`` candidates of which no two are closer than PIVOTS_APART."""
+    close = candidates @ candidates.T >= PIVOTS_APART
+    kept: list[int] = []
+    for k in range(len(candidates)):
+        if len(kept) < wanted and not close[k, kept].any():
+            kept.append(k)
+    return candidates[kept]
+
+
 def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     """Rows (rep, n, dim, unit, perm array): the numbers of the nearest pivots in order; ties by number.
 
@@ -130,7 +142,7 @@ def _compare(pivot: int, i: int, j: int, blocks: np.ndarray, reps: np.ndarray, n
     return out_a, out_b, [*counts[some].astype(np.int64).tolist(), *[0] * len(forest)]
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 6, shared_least: int = 2, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 8, shared_least: int = 2, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (id, n_links, component_id, kept) for every row.
 
     n_links counts the other rows whose cosine is ``threshold`` or more and that were found; all found
@@ -140,7 +152,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 6, share
     n_links too, is never the smallest id, and is not kept. An empty table gives no rows.
 
     Equal vectors are one class with its size, so copies never meet. There are 4 sqrt(classes) pivots,
-    64 to MOST_PIVOTS, the classes first by a hash of their key: only these vectors come to the driver.
+    64 to MOST_PIVOTS, taken from twice as many classes, the first by a hash of their key, so that no two are
+    closer than PIVOTS_APART; only this sample comes to the driver.
     ``nearest`` pivots describe a vector, and candidates share ``shared_least`` of them.
     """
     rows = stash(unit_vectors(df, id_col, vector_col), "vectors")
@@ -150,8 +163,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 6, share
     size = linkable.count()
     wanted = pivots or min(MOST_PIVOTS, max(64, 4 * math.isqrt(size)))
     dims = linkable.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    sample = linkable.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("key"), "key").limit(wanted).select("unit").collect() if dims else []
-    pivot_rows = _matrix([r["unit"] for r in sample], dims["dim"]) if sample else np.zeros((0, 1))
+    sample = linkable.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("key"), "key").limit(2 * wanted).select("unit").collect() if dims else []
+    pivot_rows = spread(_matrix([r["unit"] for r in sample], dims["dim"]), wanted) if sample else np.zeros((0, 1))
     described = describe(linkable, pivot_rows, nearest)
     entries = described.select("*", F.explode("perm").alias("pivot"))
     sizes = stash(entries.groupBy("dim", "pivot").agg(F.count("*").alias("_size")), "lists")
