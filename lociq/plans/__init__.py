@@ -1,6 +1,6 @@
 """The queries over the driver's tables; importing the modules registers them."""
 
-from lociq.plans import collection, history
+from lociq.plans import collection, history, catalog  # noqa: I001
 from lociq.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "collection", "history"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "collection", "history"]
