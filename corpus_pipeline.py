@@ -17,6 +17,9 @@ from lociq.llm.queries import LEVELS, LINE_PAGES, LINE_RATIO, mix_domain, mix_we
 #: Nine tenths of the tokens are dealt, and a source is read twice at most.
 SHARE = (9, 10)
 EPOCHS = 2
+#: Words of a shingle, and the bits in which near copies differ at most.
+SHINGLE_WORDS = 5
+SIMHASH_BITS = 6
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, SHINGLE_WORDS, SIMHASH_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

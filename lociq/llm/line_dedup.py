@@ -45,7 +45,7 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     return often.groupBy("_host").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_boilerplate(df: DataFrame, host: Column, text: Column, max_ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: Column, text: Column, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """``df`` with _host, _text (the kept lines), _n_lines and _n_dropped (lines that aren't blank).
 
     A page is a row. Each of its lines is counted once for its host, trimmed and exact in case; a line

@@ -42,8 +42,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 2: line dedup ------------------------------------------------------------------------------------
 
-LINE_RATIO = 0.3
-LINE_PAGES = 3
+LINE_RATIO = 0.1
+LINE_PAGES = 5
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

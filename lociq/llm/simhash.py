@@ -1,12 +1,14 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A fingerprint of 64 bits is split into d + 2 blocks for d differing bits at most: these touch d blocks,
-so a close pair shares two whole ones. Fingerprints are joined on every choice of two blocks, which is
-far more selective than one, and the distance is verified in the join.
+A fingerprint of 64 bits is split into d + s blocks for d differing bits at most: these touch d blocks, so
+a close pair shares s whole ones. Fingerprints are joined on every choice of s blocks and the distance
+is verified in the join. More spare blocks s make keys longer and more of them; they grow with the logarithm
+of the number of fingerprints, so that a key has few of these at any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -52,24 +54,38 @@ def fingerprints(df: DataFrame, words_each: int = 5, id_col: str = "doc_id", tex
     return map_texts(df, id_col, text_col, make, long_fields("fp"))
 
 
-def _keys(fp: Column, distance: int) -> Column:
-    """Every choice of two blocks, with the bits of both, as one binary-free key."""
-    n = distance + 2
+#: Fingerprints of one key on average at most, if bits were even.
+KEY_ROWS = 8
+
+
+def spare_blocks(distance: int, n: int) -> int:
+    """The fewest spare blocks, two at least, whose keys have KEY_ROWS of ``n`` fingerprints on average at most."""
+    spare = 2
+    while spare < 8 and 64 * spare / (distance + spare) < math.log2(max(n, 1) / KEY_ROWS + 1):
+        spare += 1
+    return spare
+
+
+def _keys(fp: Column, distance: int, spare: int) -> Column:
+    """Every choice of ``spare`` blocks: its number and the fingerprint with all other bits cleared."""
+    n = distance + spare
     edges = [64 * k // n for k in range(n + 1)]
-    block = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    return F.array(*(F.struct(F.lit(k).alias("pair"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))))
+    block = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    signed = lambda bits: bits - (1 << 64) if bits >> 63 else bits
+    masks = [signed(sum(block[k] for k in chosen)) for chosen in combinations(range(n), spare)]
+    return F.array(*(F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(mask)).alias("bits")) for k, mask in enumerate(masks)))
 
 
 def links(classes: DataFrame, distance: int) -> DataFrame:
     """Rows (a, b): the ``rep`` of each two different ``fp`` of ``classes`` at most ``distance`` bits apart."""
-    keyed = classes.select("fp", "rep", F.explode(_keys(F.col("fp"), distance)).alias("k")).select("fp", "rep", "k.*")
+    keyed = classes.select("fp", "rep", F.explode(_keys(F.col("fp"), distance, spare_blocks(distance, classes.count()))).alias("k")).select("fp", "rep", "k.*")
     left, right = keyed.alias("l"), keyed.alias("r")
     near = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
-    same = (F.col("l.pair") == F.col("r.pair")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+    same = (F.col("l.choice") == F.col("r.choice")) & (F.col("l.bits") == F.col("r.bits"))
     return left.join(right, same & near).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, words_each: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words_each: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component_id): component_id is the smallest id reachable by links, the own included.
 
     Equal fingerprints are one class with its smallest id, so copies never meet in a join; only different
@@ -84,7 +100,7 @@ def near_duplicates(df: DataFrame, words_each: int = 5, distance: int = 3, id_co
     return rows.join(labelled, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, words_each: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, words_each: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one of the smallest id.
 
     Rows of equal id are one document, of which one stays; rows without an id all stay.

@@ -40,6 +40,21 @@ def slow_fingerprint(text, size):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.mark.parametrize(("distance", "n"), [(2, 10), (2, 10**12), (6, 300_000), (6, 10**8)])
+def test_close_pairs_share_a_key(spark, distance, n):
+    """Any ``distance`` flipped bits leave some choice of spare blocks alone; keys grow with n."""
+    spare = simhash.spare_blocks(distance, n)
+    assert 64 * spare / (distance + spare) >= np.log2(n / simhash.KEY_ROWS) or spare == 8
+    rng = random.Random(7)
+    rows = []
+    for _ in range(60):
+        fp = rng.getrandbits(64)
+        other = fp ^ sum(1 << k for k in rng.sample(range(64), distance))
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (fp, other)))
+    keys = lambda c: simhash._keys(F.col(c), distance, spare)
+    assert all(r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.size(F.array_intersect(keys("a"), keys("b"))) > 0).collect())
+
+
 WORDS = "alpha beta gamma delta Epsilon zeta ETA theta É ßtraße".split()
 
 
@@ -56,7 +71,7 @@ def texts(n, seed=2):
     return out + ["", " \t", "one", "one two", "one\x0btwo", "one\x85two"]
 
 
-@pytest.mark.parametrize(("size", "distance"), [(3, 2), (5, 3)])
+@pytest.mark.parametrize(("size", "distance"), [(3, 2), (5, 6)])
 def test_simhash_against_brute_force(spark, size, distance):
     docs = texts(60)
     rows = [(k, t, "clash") for k, t in enumerate(docs)] + [(3, docs[3], "again"), (None, docs[5], None), (900, None, "null")]

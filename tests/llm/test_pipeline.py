@@ -67,7 +67,7 @@ def test_pipeline_stage_by_stage(spark):
     for _ in fp:
         for a in fp:
             for b in fp:
-                if bin((fp[a] ^ fp[b]) & (1 << 64) - 1).count("1") <= 3:
+                if bin((fp[a] ^ fp[b]) & (1 << 64) - 1).count("1") <= corpus_pipeline.SIMHASH_BITS:
                     label[a] = min(label[a], label[b])
         if all(label[label[i]] == label[i] for i in label):
             break
