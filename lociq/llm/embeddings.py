@@ -29,43 +29,44 @@ PIVOTS_APART = 0.7
 BLOCK = 512
 
 
-def _unit_rows(vectors: pa.Array) -> tuple[list[bytes | None], list[bytes | None], list[int]]:
-    """For each vector its key, its unit vector as little-endian doubles, and its dimension.
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled by their largest component first, so nothing overflows."""
+    v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True)) + 0.0
 
-    Null for vectors that are null, empty or zero, or hold a null or non-finite component.
+
+def _read_rows(vectors: pa.Array, kind: str) -> tuple[list[bytes | None], list[bytes | None], list[int]]:
+    """For each vector its key, its components as bytes of ``kind``, and its dimension.
+
+    The key is a hash of the unit vector; it is null for vectors that are null, empty or zero, or hold a
+    null or non-finite component.
     """
-    keys, units, sizes = [], [], []
+    keys, raw, sizes = [], [], []
     for vector in vectors.to_pylist():
-        if vector and None not in vector:
-            v = np.array(vector, dtype=np.float64)
-            if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                v = v / top
-                unit = (v / math.sqrt(float(v @ v)) + 0.0).astype("<f8").tobytes()
-                keys.append(hashlib.md5(unit).digest())
-                units.append(unit)
-                sizes.append(len(v))
-                continue
-        keys.append(None)
-        units.append(None)
-        sizes.append(0)
-    return keys, units, sizes
-
-
-def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (id, key, unit, dim) of every row; key and unit are null for vectors that can't link."""
+        v = np.array(vector if vector and None not in vector else [0.0], dtype=kind)
+        linkable = bool(np.isfinite(v).all() and v.any())
+        keys.append(hashlib.md5(_unit(v[None, :]).astype("<f8").tobytes()).digest() if linkable else None)
+        raw.append(v.tobytes() if linkable else None)
+        sizes.append(len(v) if linkable else 0)
+    return keys, raw, sizes
+
+
+def read_vectors(df: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    """Rows (id, key, vec, dim) of every row; key and vec are null for vectors that can't link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                keys, units, sizes = _unit_rows(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(units, pa.binary()), pa.array(sizes, pa.int32())], names=["id", "key", "unit", "dim"])
+                keys, raw, sizes = _read_rows(part.column(1), kind)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(sizes, pa.int32())], names=["id", "key", "vec", "dim"])
 
-    return df.select(id_col, vector_col).mapInArrow(run, "id long, key binary, unit binary, dim int")
+    return df.select(id_col, vector_col).mapInArrow(run, "id long, key binary, vec binary, dim int")
 
 
-def _matrix(units: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(units), "<f8").reshape(len(units), dim)
+def _matrix(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), dim))
 
 
 def spread(candidates: np.ndarray, wanted: int) -> np.ndarray:
@@ -78,8 +79,8 @@ def spread(candidates: np.ndarray, wanted: int) -> np.ndarray:
     return candidates[kept]
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """Rows (rep, n, dim, unit, perm array): the numbers of the nearest pivots in order; ties by number.
+def describe(classes: DataFrame, pivots: np.ndarray, nearest: int, kind: str) -> DataFrame:
+    """Rows (rep, n, dim, vec, perm array): the numbers of the nearest pivots in order; ties by number.
 
     A vector of another dimension than the pivots' is padded with zeros or cut for this only.
     """
@@ -92,13 +93,13 @@ def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 rows = np.zeros((part.num_rows, width))
-                for at, unit in enumerate(part.column("unit").to_pylist()):
-                    v = np.frombuffer(unit, "<f8")[:width]
+                for at, raw in enumerate(part.column("vec").to_pylist()):
+                    v = _unit(np.frombuffer(raw, kind)[None, :])[0, :width]
                     rows[at, : len(v)] = v
                 perm = np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :nearest] if len(pivots) else np.zeros((len(rows), 1), int)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n", "dim", "unit")), pa.array(perm.tolist(), pa.list_(pa.int32()))], names=["rep", "n", "dim", "unit", "perm"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n", "dim", "vec")), pa.array(perm.tolist(), pa.list_(pa.int16()))], names=["rep", "n", "dim", "vec", "perm"])
 
-    return classes.select("rep", "n", "dim", "unit").mapInArrow(run, "rep long, n long, dim int, unit binary, perm array<int>")
+    return classes.select("rep", "n", "dim", "vec").mapInArrow(run, "rep long, n long, dim int, vec binary, perm array<smallint>")
 
 
 def _forest(size: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -156,28 +157,29 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 8, share
     closer than PIVOTS_APART; only this sample comes to the driver.
     ``nearest`` pivots describe a vector, and candidates share ``shared_least`` of them.
     """
-    rows = stash(unit_vectors(df, id_col, vector_col), "vectors")
+    kind = "<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
+    rows = stash(read_vectors(df, id_col, vector_col, kind), "vectors")
     valid = rows.where("key is not null")
-    classes = stash(valid.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"), F.first("dim").alias("dim")), "classes")
+    classes = stash(valid.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "classes")
     linkable = classes.where("rep is not null")
     size = linkable.count()
     wanted = pivots or min(MOST_PIVOTS, max(64, 4 * math.isqrt(size)))
     dims = linkable.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    sample = linkable.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("key"), "key").limit(2 * wanted).select("unit").collect() if dims else []
-    pivot_rows = spread(_matrix([r["unit"] for r in sample], dims["dim"]), wanted) if sample else np.zeros((0, 1))
-    described = describe(linkable, pivot_rows, nearest)
+    sample = linkable.where(F.col("dim") == dims["dim"]).orderBy(F.xxhash64("key"), "key").limit(2 * wanted).select("vec").collect() if dims else []
+    pivot_rows = spread(_matrix([r["vec"] for r in sample], dims["dim"], kind), wanted) if sample else np.zeros((0, 1))
+    described = describe(linkable, pivot_rows, nearest, kind)
     entries = described.select("*", F.explode("perm").alias("pivot"))
     sizes = stash(entries.groupBy("dim", "pivot").agg(F.count("*").alias("_size")), "lists")
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
     placed = entries.join(sizes, ["dim", "pivot"]).withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     others = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = others.select("rep", "n", "dim", "unit", "perm", "pivot", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+    pairs = others.select("rep", "n", "dim", "vec", "perm", "pivot", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
     least = min(shared_least, nearest)
 
     def compare(group: pa.Table) -> pa.Table:
         one = {c: group.column(c)[0].as_py() for c in ("pivot", "i", "j", "dim")}
         perm = group.column("perm").to_pylist()
-        found = _compare(one["pivot"], one["i"], one["j"], group.column("block").to_numpy(), group.column("rep").to_numpy(), group.column("n").to_numpy(), _matrix(group.column("unit").to_pylist(), one["dim"]), np.array(perm), threshold, min(least, len(perm[0])))
+        found = _compare(one["pivot"], one["i"], one["j"], group.column("block").to_numpy(), group.column("rep").to_numpy(), group.column("n").to_numpy(), _matrix(group.column("vec").to_pylist(), one["dim"], kind), np.array(perm, np.int64), threshold, min(least, len(perm[0])))
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["a", "b", "n"])
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
@@ -186,7 +188,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, nearest: int = 8, share
     parts = components(found.where("b is not null"))
     labelled = classes.join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     labelled = labelled.select("key", (F.col("n") - 1 + F.coalesce("_n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("_component"))
-    joined = rows.join(labelled, "key", "left")
+    joined = rows.select("id", "key").join(labelled, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("_component"))
     out = joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
