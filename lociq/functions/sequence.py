@@ -81,9 +81,12 @@ def normalised_entropy(text: Column) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """The distinct substrings of length ``k``; an empty array for shorter texts."""
-    places = F.sequence(F.lit(1), F.length(text) - k + 1)
-    return F.when(F.length(text) >= k, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    """The distinct substrings of length ``k``; an empty array for shorter texts.
+
+    One pass of a pattern that looks ahead ``k`` characters and takes one; substrings by place would walk
+    the text anew for each.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}})).")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -197,3 +197,43 @@ def near_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.plans.history import _pairs
 
     return clades.near_taxa(taxonomy.pair_distances(paths(spark, sf_dir), _pairs(spark, sf_dir)), 0.5).select("a", "b", "distance")
+
+
+_OWNERS = "k AS (SELECT item_id, length(text) AS len, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS kmer FROM benchmark), o AS (SELECT kmer, min_by(item_id, (-len, item_id)) AS item_id FROM k GROUP BY 1), g AS (SELECT item_id, length(text) AS len, gain FROM (SELECT item_id, count(*) AS gain FROM o GROUP BY 1) JOIN benchmark USING (item_id)), c AS (SELECT *, sum(gain) OVER (ORDER BY len DESC, item_id ROWS UNBOUNDED PRECEDING) AS upto, sum(gain) OVER () AS total FROM g)"
+
+
+@query(f"WITH {_OWNERS} SELECT item_id AS id, gain, round(upto / total, 6) AS coverage FROM c WHERE (upto - gain) / total < 0.95")
+def auto_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.functions.sequence import kmers
+    from lociq.operators.profiles import auto_select as choose
+
+    rows = table(spark, sf_dir, "benchmark").withColumn("len", F.length("text"))
+    return choose(rows, "item_id", "len", kmers(F.col("text"), 3))
+
+
+@query()
+def seed_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.operators.profiles import seed_cover as cover
+
+    return cover(docs(spark, sf_dir).withColumn("clade", F.concat_ws("/", "lang", "source")), "clade", "doc_id", "text")
+
+
+@query("SELECT reference_id, doc_id, (row_number() OVER (PARTITION BY reference_id ORDER BY doc_id) - 1) // 10 AS batch_no FROM (" + SELECTED + ") WHERE role = 'child'")
+def delta_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.operators.profiles import batched
+
+    return batched(child_reference_map(spark, sf_dir), "reference_id", "doc_id", 10)
+
+
+@query("SELECT user_id, ts, prev AS old_header, event_type AS new_header FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS prev, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k FROM events) WHERE k > 1 AND prev IS DISTINCT FROM event_type")
+def header_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.operators.temporal import changes
+
+    found = changes(table(spark, sf_dir, "events"), "user_id", "ts", "event_type").where("change = 'Reclassified'")
+    return found.select("user_id", "ts", F.col("old_value").alias("old_header"), F.col("new_value").alias("new_header"))
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_extract('>' || source || '_' || doc_id || ' text', '^>(\\S+)', 1), ''), '') AS name, n_chars AS length FROM documents")
+def sequence_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.concat(F.lit(">"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(" text"))
+    return docs(spark, sf_dir).select("doc_id", F.regexp_extract(header, r"^>(\S+)", 1).alias("name"), F.col("n_chars").alias("length"))
