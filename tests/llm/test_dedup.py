@@ -179,6 +179,13 @@ def test_lines_against_brute_force(spark, monkeypatch, limit):
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("host"), F.col("text")).count() == 0
 
 
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([("h", "a\nb", 1, 2, 3, 4, 5)] * 3, "host string, text string, drop int, line int, _hit int, _host int, n int")
+    out = line_dedup.drop_boilerplate(df, F.col("host"), F.col("text"), 0.5, 3)
+    assert out.columns == ["host", "text", "drop", "line", "n", "_host", "_text", "_n_lines", "_n_dropped"]
+    assert [(r._text, r._n_lines, r._n_dropped, r.n) for r in out.collect()] == [("", 2, 2, 5)] * 3
+
+
 def test_page_text(spark):
     html = "<html><head><script>var t='<p>';</script><style>p{}</style></head><!-- <p>no</p> --><body><p>One <b>two</b></p><ul><li>a</li><li>b</li></ul></body>"
     text = spark.createDataFrame([(html,)], "h string").select(line_dedup.page_text(F.col("h"))).first()[0]
