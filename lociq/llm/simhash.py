@@ -66,23 +66,38 @@ def spare_blocks(distance: int, n: int) -> int:
     return spare
 
 
-def _keys(fp: Column, distance: int, spare: int) -> Column:
-    """Every choice of ``spare`` blocks: its number and the fingerprint with all other bits cleared."""
+def _masks(distance: int, spare: int) -> list[int]:
+    """The bits of every choice of ``spare`` blocks, as signed 64-bit integers."""
     n = distance + spare
     edges = [64 * k // n for k in range(n + 1)]
     block = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    signed = lambda bits: bits - (1 << 64) if bits >> 63 else bits
-    masks = [signed(sum(block[k] for k in chosen)) for chosen in combinations(range(n), spare)]
+    sums = [sum(block[k] for k in chosen) for chosen in combinations(range(n), spare)]
+    return [bits - (1 << 64) if bits >> 63 else bits for bits in sums]
+
+
+def _keys(fp: Column, masks: list[int]) -> Column:
+    """The fingerprint by every choice: the choice's number and the bits with all others cleared."""
     return F.array(*(F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(mask)).alias("bits")) for k, mask in enumerate(masks)))
 
 
+def _first_choice(differing: Column, masks: list[int]) -> Column:
+    """The first choice none of whose bits differ; a pair is taken there only, not at each key that it shares."""
+    out = F.when(differing.bitwiseAND(F.lit(masks[0])) == 0, 0)
+    for k, mask in enumerate(masks[1:], 1):
+        out = out.when(differing.bitwiseAND(F.lit(mask)) == 0, k)
+    return out
+
+
 def links(classes: DataFrame, distance: int) -> DataFrame:
-    """Rows (a, b): the ``rep`` of each two different ``fp`` of ``classes`` at most ``distance`` bits apart."""
-    keyed = classes.select("fp", "rep", F.explode(_keys(F.col("fp"), distance, spare_blocks(distance, classes.count()))).alias("k")).select("fp", "rep", "k.*")
+    """Rows (a, b): the ``rep`` of each two different ``fp`` of ``classes`` at most ``distance`` bits apart, once."""
+    masks = _masks(distance, spare_blocks(distance, classes.count()))
+    keyed = classes.select("fp", "rep", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("fp", "rep", "k.*")
     left, right = keyed.alias("l"), keyed.alias("r")
-    near = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
+    differing = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    near = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(differing) <= distance)
     same = (F.col("l.choice") == F.col("r.choice")) & (F.col("l.bits") == F.col("r.bits"))
-    return left.join(right, same & near).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    found = left.join(right, same & near & (F.col("l.choice") == _first_choice(differing, masks)))
+    return found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
 def near_duplicates(df: DataFrame, words_each: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

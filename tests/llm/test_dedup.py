@@ -51,7 +51,7 @@ def test_close_pairs_share_a_key(spark, distance, n):
         fp = rng.getrandbits(64)
         other = fp ^ sum(1 << k for k in rng.sample(range(64), distance))
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (fp, other)))
-    keys = lambda c: simhash._keys(F.col(c), distance, spare)
+    keys = lambda c: simhash._keys(F.col(c), simhash._masks(distance, spare))
     assert all(r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.size(F.array_intersect(keys("a"), keys("b"))) > 0).collect())
 
 
