@@ -28,7 +28,7 @@ PIECES_HELD = 100_000
 UNITS_HELD = 100_000
 PAIRS_HELD = 500_000
 #: Strings whose prefix tables are made together, and the longest among them.
-BATCH_ROWS = 16_384
+BATCH_ROWS = 8_192
 BATCH_BYTES = 48
 
 
@@ -59,8 +59,7 @@ class Vocabulary:
     """What the prefix tables look up; built once from the ranks and small enough to broadcast.
 
     ``reach`` maps each prefix of a token to the id of the token that it is, -1 if it is none that
-    encodes alone as itself. ``right_edge`` and ``left_edge`` list for each token the parts that stand
-    at that edge while it is merged, each with the rank of the merge that takes it in.
+    encodes alone as itself. What stands at a token's edges while it is merged is worked out when asked for.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -69,28 +68,24 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.reach: dict[bytes, int] = {}
-        self.right_edge: dict[int, list[tuple[bytes, int]]] = {}
-        self.left_edge: dict[int, list[tuple[bytes, int]]] = {}
-        #: Tokens whose merges don't come in the order of their ranks.
-        self.unordered: set[int] = set()
-        for token, rank in ranks.items():
-            parts, merged = merge(token, ranks)
-            if len(parts) != 1:
-                continue
-            self.reach[token] = rank
-            times = [ranks[a + b] for a, b in merged]
-            if times != sorted(times):
-                self.unordered.add(rank)
-            self.right_edge[rank] = self._edge(token[-1:], [(a, b) for a, b in merged], token, 1)
-            self.left_edge[rank] = self._edge(token[:1], [(a, b) for a, b in merged], token, 0)
+        self.reach = {token: rank for token, rank in ranks.items() if len(merge(token, ranks)[0]) == 1}
         for token in list(self.reach):
             for end in range(1, len(token)):
                 self.reach.setdefault(token[:end], -1)
-
-    def _edge(self, part: bytes, merged: list[tuple[bytes, bytes]], token: bytes, side: int) -> list[tuple[bytes, int]]:
-        """The parts at one edge of ``token``: going back from the last merge, each merge that makes the
-        part now at the edge splits it."""
+        self._edges: dict[int, tuple[list, list] | None] = {}
+
+    def edges(self, rank: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
+        """The parts that stand at the left and at the right edge of a token while it is merged, each with the rank
+        of the merge that takes it in; None if its merges don't come in the order of their ranks."""
+        if rank not in self._edges:
+            token = self.token[rank]
+            merged = merge(token, self.ranks)[1]
+            times = [self.ranks[a + b] for a, b in merged]
+            self._edges[rank] = (self._edge(merged, token, 0), self._edge(merged, token, 1)) if times == sorted(times) else None
+        return self._edges[rank]
+
+    def _edge(self, merged: list[tuple[bytes, bytes]], token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """Going back from the last merge, each merge that makes the part now at the edge splits it."""
         found, now = [(token, NEVER)], token
         for a, b in reversed(merged):
             if a + b == now and len(now) > 1:
@@ -104,10 +99,11 @@ class Vocabulary:
         The parts at the boundary grow as each side is merged by itself. Should a merge across come
         first at any point, the pair isn't stable; of equal ranks the leftmost merge comes first.
         """
-        if left in self.unordered or right in self.unordered:
+        ours_theirs = self.edges(left), self.edges(right)
+        if None in ours_theirs:
             return merge(self.token[left] + self.token[right], self.ranks)[0] == [self.token[left], self.token[right]]
         ranks = self.ranks
-        ours, theirs = iter(self.right_edge[left]), iter(self.left_edge[right])
+        ours, theirs = iter(ours_theirs[0][1]), iter(ours_theirs[1][0])
         (a, until_a), (b, until_b) = next(ours), next(theirs)
         while True:
             across = ranks.get(a + b, NEVER)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Texts, and their bytes, held as Python strings at once in a worker.
 SLICE_ROWS = 512
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
