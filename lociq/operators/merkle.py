@@ -68,3 +68,13 @@ def verify(leaf: str, path: list[tuple[str, str]], root_hash: str) -> bool:
 def mismatches(chunks: DataFrame, hash_col: str, body: str) -> DataFrame:
     """Chunks whose content no longer has its hash, or is gone."""
     return chunks.where(F.col(body).isNull() | (F.sha2(body, 256) != F.col(hash_col)))
+
+
+def seal(sequence_root: str, taxonomy_root: str, at: str) -> str:
+    """The hash that binds both roots to a time; a temporal proof is two proofs and this."""
+    return hashlib.sha256(f"{sequence_root}:{taxonomy_root}:{at}".encode()).hexdigest()
+
+
+def verify_temporal(leaves: tuple[str, str], paths: tuple[list, list], roots: tuple[str, str], at: str, sealed: str) -> bool:
+    """Whether both leaves lead to their roots and the roots and the time to the seal."""
+    return all(verify(leaf, path, root_) for leaf, path, root_ in zip(leaves, paths, roots)) and seal(*roots, at) == sealed

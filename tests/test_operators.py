@@ -115,3 +115,39 @@ def test_upsert(spark):
     first = dedup.canonical(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, t string"), "t", "id")
     second = dedup.canonical(spark.createDataFrame([(9, "a"), (8, "b")], "id long, t string"), "t", "id")
     assert {(r.first_id, r.n_copies) for r in dedup.upsert(first, second).collect()} == {(1, 3), (8, 1)}
+
+
+def test_greedy_by_group(spark, graph):
+    rows, edges = graph
+    grouped = rows.withColumn("g", F.when(F.col("id") <= 2, "x").when(F.col("id") <= 4, "y"))
+    got = {r.id: r.reference_id for r in select.greedy_by_group(grouped, edges, "id", "len", "g").collect()}
+    assert got == {1: 2, 2: None, 3: 4, 4: None, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_temporal_proof(spark):
+    leaves = sorted(hashlib.sha256(str(k).encode()).hexdigest() for k in range(5))
+    tree = merkle.levels(spark.createDataFrame([(x,) for x in leaves], "h string"), "h")
+    root = tree[-1].first()["hash"]
+    paths = (merkle.proof(tree, 1), merkle.proof(tree, 4))
+    sealed = merkle.seal(root, root, "2024-01-01")
+    assert merkle.verify_temporal((leaves[1], leaves[4]), paths, (root, root), "2024-01-01", sealed)
+    assert not merkle.verify_temporal((leaves[1], leaves[4]), paths, (root, root), "2024-01-02", sealed)
+
+
+@pytest.mark.parametrize("target", [None, "lambda"])
+def test_reduce(spark, target):
+    from lociq.operators.align import apply_delta
+    from lociq.plans.reduce import reduce
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("acgt") for _ in range(150)) for _ in range(4)]
+    texts = [b[:70] + rng.choice("acgt") + b[71:] for b in base for _ in range(3)] + base + ["short", None, "a" * 80]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    out = reduce(rows, "id", "t", target=target, k=5, entropy=0.1, longest=149 if target else 10_000)
+    roles = {r.id: (r.role, r.reference_id) for r in out.selection.collect()}
+    assert set(roles) == set(range(len(texts)))
+    assert [roles[k][0] for k in range(16, 19)] == ["discarded"] * 3
+    coded = out.deltas.join(rows.select(F.col("id").alias("reference_id"), F.col("t").alias("r")), "reference_id").join(rows, "id")
+    assert all(row[0] == row[1] for row in coded.select(apply_delta(F.col("r"), F.col("ops")), "t").collect())
+    children = sum(role == "child" for role, _ in roles.values())
+    assert out.deltas.count() + out.long_children.count() == children > 0
