@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 5, -4, -10, -1
 #: Longer texts are aligned block by block between shared anchors.
 LONGEST = 10_000
+#: Characters of the blocks that a delta looks up in the reference; an operation costs as much.
+BLOCK = 16
 
 
 def align(a: str, b: str) -> tuple[int, int, int]:
@@ -98,14 +101,51 @@ def anchored(a: str, b: str) -> tuple[int, int, int]:
     return matches, columns, 0
 
 
+@lru_cache(maxsize=8)
+def _blocks(reference: str) -> dict[str, int]:
+    """The first place of each block of ``BLOCK`` characters."""
+    return {reference[i : i + BLOCK]: i for i in range(len(reference) - BLOCK, -1, -1)}
+
+
+def _shared(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are equal from a[i] and b[j] on: by doubled steps, then halved ones."""
+    n, most, step = 0, min(len(a) - i, len(b) - j), BLOCK
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    while step and n < most:
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+        step //= 2
+    return min(n, most)
+
+
 def encode_delta(reference: str, child: str) -> list[tuple[str, int, int, str]]:
-    """Operations (kind, start, end, text) that make ``child`` of ``reference``: copy start..end, or insert."""
+    """Operations (kind, start, end, text) that make ``child`` of ``reference``: copy start..end, or insert.
+
+    The equal start is a copy; after it each block of ``BLOCK`` characters that the reference has is, as far as the
+    texts agree on both sides. One pass, so any length will do; copies may go back in the reference.
+    """
     ops: list[tuple[str, int, int, str]] = []
-    for kind, i, j, k, m in SequenceMatcher(None, reference, child, autojunk=False).get_opcodes():
-        if kind == "equal":
-            ops.append(("copy", i, j, ""))
-        elif m > k:
-            ops.append(("insert", i, i, child[k:m]))
+    at = done = _shared(reference, 0, child, 0)
+    if done:
+        ops.append(("copy", 0, done, ""))
+    blocks = _blocks(reference) if len(child) - done >= BLOCK else {}
+    while at <= len(child) - BLOCK:
+        start = blocks.get(child[at : at + BLOCK])
+        if start is None:
+            at += 1
+            continue
+        end = at + _shared(reference, start, child, at)
+        stop = start + end - at
+        while at > done and start and reference[start - 1] == child[at - 1]:
+            at, start = at - 1, start - 1
+        if at > done:
+            ops.append(("insert", start, start, child[done:at]))
+        ops.append(("copy", start, stop, ""))
+        at = done = end
+    if done < len(child):
+        ops.append(("insert", len(reference), len(reference), child[done:]))
     return ops
 
 

@@ -1,8 +1,10 @@
 """Queries whose registered SQL has a bound that the query no longer has, against SQL without it or brute force."""
 
+import random
+
 import duckdb
-from pyspark.sql import functions as F
 
+from lociq.operators.align import decode_delta, encode_delta
 from lociq.plans import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -19,3 +21,21 @@ def test_remap_takes_every_order(spark):
     want = duck("SELECT l_orderkey, string_agg(DISTINCT t::VARCHAR, ',' ORDER BY t::VARCHAR) AS taxa FROM (SELECT l_orderkey, CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey + 1000 ELSE l_suppkey END AS t FROM lineitem) GROUP BY 1", "lineitem")
     got = sorted(map(tuple, QUERIES["taxonomy_remap"](spark, SF).collect()))
     assert got == want and got[-1][0] > 2000
+
+
+def test_every_child_makes_the_round_trip(spark):
+    children = QUERIES["simple_select"](spark, SF).where("role = 'child'")
+    want = sorted((r.doc_id, r.reference_id, True) for r in children.collect())
+    assert sorted(map(tuple, QUERIES["delta_roundtrip"](spark, SF).select("doc_id", "reference_id", "is_equal").collect())) == want
+    lengths = [len(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").join(children, "doc_id").select("text").collect()]
+    assert len(want) == len(lengths) and max(lengths) > 400
+
+
+def test_delta_of_long_texts():
+    rng = random.Random(6)
+    reference = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    child = reference[30_000:50_000] + "éß𝄞" + reference[:29_000] + reference[29_001:]
+    ops = encode_delta(reference, child)
+    assert decode_delta(reference, ops) == child and len(ops) == 4
+    for a, b in [("a" * 50_000, "a" * 40_000 + "b" + "a" * 20_000), ("", "x" * 99), ("x" * 99, ""), (reference, reference)]:
+        assert decode_delta(a, encode_delta(a, b)) == b
