@@ -137,8 +137,7 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(reverse(translate(text, 'ATGCatgc', 'TACGTACG'))) AS rc_hash, sha256(upper(text)) AS upper_hash FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def transform_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
-    return ascii_only.select("doc_id", F.sha2(S.reverse_complement(F.col("text")), 256).alias("rc_hash"), F.sha2(F.upper("text"), 256).alias("upper_hash"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(S.reverse_complement(F.col("text")), 256).alias("rc_hash"), F.sha2(F.upper("text"), 256).alias("upper_hash"))
 
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) = 0 THEN 'Unknown' WHEN (length(p_name) - length(translate(p_name, 'ATGCUNatgcun', ''))) * 10 > length(p_name) * 9

@@ -1,5 +1,6 @@
 """Queries whose registered SQL has a bound that the query no longer has, against SQL without it or brute force."""
 
+import hashlib
 import random
 
 import duckdb
@@ -39,3 +40,12 @@ def test_delta_of_long_texts():
     assert decode_delta(reference, ops) == child and len(ops) == 4
     for a, b in [("a" * 50_000, "a" * 40_000 + "b" + "a" * 20_000), ("", "x" * 99), ("x" * 99, ""), (reference, reference)]:
         assert decode_delta(a, encode_delta(a, b)) == b
+
+
+def test_every_document_is_transformed(spark):
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    complement = str.maketrans("ATGCatgc", "TACGTACG")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: (digest(r.text.translate(complement)[::-1]), digest(r.text.upper())) for r in rows}
+    got = {r.doc_id: (r.rc_hash, r.upper_hash) for r in QUERIES["transform_reverse_complement"](spark, SF).collect()}
+    assert got == want and any(not r.text.isascii() for r in rows)
