@@ -1,16 +1,16 @@
 """Fuzzy search for short licence notices.
 
 A notice of which at most k letters may be wrong is cut into k + 1 pieces, one of which must stand
-unchanged in any match. Exact finds of the pieces give candidate places; there the regex library's
-bounded-error matching verifies the whole notice and reports how many edits it took.
+unchanged in any match. Exact finds of the pieces give the words where a match can start; from each of these
+the edits to every word's end are counted, so all matches on whole words are known before overlaps go.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -44,14 +44,29 @@ class Notice:
     label: str
     edits: int
     seeds: tuple[tuple[int, bytes], ...]
-    pattern: regex.Pattern
+    masks: dict[int, int]
 
     @classmethod
     def of(cls, text: str, label: str) -> Notice:
         edits = len(text) // LETTERS_AN_EDIT
         cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
         seeds = tuple((lo, text[lo:hi].encode()) for lo, hi in zip(cuts, cuts[1:]))
-        return cls(text, label, edits, seeds, regex.compile(rb"(?b)(?:" + regex.escape(text).encode() + b"){e<=%d}" % edits))
+        return cls(text, label, edits, seeds, {c: sum(1 << k for k, x in enumerate(text.encode()) if x == c) for c in text.encode()})
+
+    def ends(self, line: bytes, start: int) -> Iterator[tuple[int, int]]:
+        """(edits, stop) of each match from a word's start to a word's end, by Myers' bit vectors."""
+        size = len(self.text)
+        full, last = (1 << size) - 1, 1 << (size - 1)
+        up, down, edits = full, 0, size
+        for stop, c in enumerate(line[start : start + size + self.edits], start + 1):
+            same = self.masks.get(c, 0)
+            across = (((same & up) + up) ^ up) | same
+            more, less = down | ~(across | up) & full, up & across
+            edits += bool(more & last) - bool(less & last)
+            more, less, same = (more << 1 | 1) & full, less << 1 & full, same | down
+            up, down = less | ~(same | more) & full, more & same
+            if edits <= self.edits and line[stop : stop + 1] in (b"", b" ") and c != 32:
+                yield edits, stop
 
 
 @dataclass(frozen=True)
@@ -82,34 +97,28 @@ def places(line: bytes, phrase: str) -> Iterator[int]:
 
 
 def find(line: bytes, notices: list[Notice]) -> list[Hit]:
-    """For each notice the verified, non-overlapping hits on whole words, in order."""
+    """For each notice the hits on whole words, in order; of hits that overlap the one of fewest edits stays, then
+    the first, then the shortest."""
     hits = []
     for notice in notices:
-        size, slack, windows = len(notice.text), notice.edits, []
+        slack, starts = notice.edits, set()
         for offset, seed in notice.seeds:
             at = line.find(seed)
             while at >= 0:
-                windows.append((max(0, at - offset - slack), at - offset + size + slack))
+                lo, hi = at - offset - slack, at - offset + slack
+                if lo <= 0:
+                    starts.add(0)
+                space = line.find(b" ", max(0, lo - 1), max(0, hi))
+                while space >= 0:
+                    starts.add(space + 1)
+                    space = line.find(b" ", space + 1, hi)
                 at = line.find(seed, at + 1)
-        windows.sort()
-        joined: list[list[int]] = []
-        for lo, hi in windows:
-            if joined and lo <= joined[-1][1]:
-                joined[-1][1] = max(hi, joined[-1][1])
-            else:
-                joined.append([lo, hi])
-        for lo, hi in joined:
-            lo = line.rfind(b" ", 0, lo) + 1
-            hi = end if (end := line.find(b" ", hi)) >= 0 else len(line)
-            for match in notice.pattern.finditer(line, lo, hi):
-                start, stop = match.span()
-                edits = sum(match.fuzzy_counts)
-                if start > 0 and line[start - 1 : start] != b" ":
-                    edits += start - (line.rfind(b" ", 0, start) + 1)
-                if stop < len(line) and line[stop : stop + 1] != b" ":
-                    edits += (end if (end := line.find(b" ", stop)) >= 0 else len(line)) - stop
-                if edits <= notice.edits:
-                    hits.append(Hit(notice.label, start, stop, edits, 1 - edits / size))
+        kept: list[tuple[int, int, int]] = []
+        for edits, start, stop in sorted((edits, start, stop) for start in starts for edits, stop in notice.ends(line, start)):
+            k = bisect(kept, (start,))
+            if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or stop <= kept[k][0]):
+                kept.insert(k, (start, stop, edits))
+        hits += [Hit(notice.label, start, stop, edits, 1 - edits / len(notice.text)) for start, stop, edits in kept]
     return hits
 
 
@@ -137,7 +146,7 @@ def find_licenses(df: DataFrame, base: dict[str, str] | None = None, notices: di
 
     ``labels`` has the base labels and those of the notices found with errors; ``score`` is 1 less the
     share of wrong letters of the best hit, 0 without any. ``spans`` lists label:first word:word after
-    the last:edits. A match that ends inside a word counts the word's other letters as edits. A null or
+    the last:edits. Matches are of whole words, so all letters of their first and last word count. A null or
     empty text has no words and empty labels. Repeated rows and null ids stay; other columns are not
     read. One pass, no shuffle.
     """
