@@ -24,16 +24,17 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text: str, k: int, threshold: fl
     least that ratio.
 
     Each set is ordered by rising document frequency; sets that similar share a k-mer among the first
-    |set| - ceil(threshold * |set|) + 1, so only these rare k-mers are joined. The size filter is part of the join,
+    |set| - ceil(threshold * |set|) + 1, so only these rare k-mers are joined. The size and length filters are part of the join,
     and the sets are compared exactly after it. A text shorter than k has no set and no pairs.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.length(text).alias("len"), kmers(F.col(text), k).alias("set")).where(F.size("set") > 0)
-    exploded = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("kmer"))
+    exploded = sets.select("id", "len", F.size("set").alias("n"), F.explode("set").alias("kmer"))
     df = exploded.groupBy("kmer").agg(F.count("*").alias("df"))
     ranked = exploded.join(df, "kmer").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer")))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).where("df > 1").select("id", "n", "kmer")
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).where("df > 1").select("id", "len", "n", "kmer")
     a, b = prefix.alias("x"), prefix.alias("y")
     sized = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
+    sized &= F.least("x.len", "y.len") >= F.lit(length_ratio) * F.greatest("x.len", "y.len")
     pairs = a.join(b, (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.id") < F.col("y.id")) & sized).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     left = sets.select(F.col("id").alias("a"), F.col("len").alias("len_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("len").alias("len_b"), F.col("set").alias("set_b"))

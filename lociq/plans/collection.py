@@ -11,6 +11,7 @@ from lociq.operators import chunks, dedup, filters, lengths, merkle, sampling, s
 from lociq.operators import diff as D
 from lociq.plans.registry import query
 from lociq.session import table
+from lociq.storage import stash
 
 SIMPLE_SELECT = """
 WITH d AS (SELECT doc_id, n_chars AS len FROM documents),
@@ -398,19 +399,34 @@ def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.connected(_edges(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id")
 
 
+#: Selection over documents: 3-mer Jaccard of the similarity matrix, and the length ratio of similar texts.
+SIMILAR, LENGTH_RATIO = 0.7, 0.8
+
+
+def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, text, len): each text once, under its smallest id."""
+    kept = docs(spark, sf_dir).where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("_h")).agg(F.min("doc_id").alias("doc_id"))
+    return kept.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "text", F.length("text").alias("len"))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, str]:
+    rows = stash(distinct_texts(spark, sf_dir), "texts")
+    return rows, similarity.jaccard_pairs(rows, "doc_id", "text", 3, SIMILAR, LENGTH_RATIO), "doc_id", "len"
+
+
 @query()
 def greedy_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.greedy(table(spark, sf_dir, "benchmark").withColumn("len", F.length("text")), _edges(spark, sf_dir), "item_id", "len")
+    return select.greedy(*_selection(spark, sf_dir))
 
 
 @query()
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.set_cover(table(spark, sf_dir, "benchmark").withColumn("len", F.length("text")), _edges(spark, sf_dir), "item_id", "len")
+    return select.set_cover(*_selection(spark, sf_dir))
 
 
 @query()
 def centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.centrality(table(spark, sf_dir, "benchmark").withColumn("len", F.length("text")), _edges(spark, sf_dir), "item_id", "len")
+    return select.centrality(*_selection(spark, sf_dir))
 
 
 @query(f"""WITH s AS ({SIMPLE_SELECT}), m AS (SELECT s.role, d.lang, d.n_chars FROM s JOIN documents d USING (doc_id))

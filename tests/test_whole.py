@@ -49,3 +49,21 @@ def test_every_document_is_transformed(spark):
     want = {r.doc_id: (digest(r.text.translate(complement)[::-1]), digest(r.text.upper())) for r in rows}
     got = {r.doc_id: (r.rc_hash, r.upper_hash) for r in QUERIES["transform_reverse_complement"](spark, SF).collect()}
     assert got == want and any(not r.text.isascii() for r in rows)
+
+
+def test_selection_over_documents(spark):
+    """Greedy choice over every distinct text, against brute force."""
+    small = "/root/testdata/sf0.001"
+    first: dict = {}
+    for r in sorted(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()):
+        first.setdefault(r.text, r.doc_id)
+    rows = sorted(((len(t), i, {t[k : k + 3] for k in range(len(t) - 2)}) for t, i in first.items()), key=lambda r: (-r[0], r[1]))
+    near = lambda x, y: x[2] and y[2] and min(x[0], y[0]) >= 0.8 * max(x[0], y[0]) and len(x[2] & y[2]) >= 0.7 * len(x[2] | y[2])
+    want: dict = {}
+    for k, row in enumerate(rows):
+        if row[1] not in want:
+            want[row[1]] = None
+            want |= {other[1]: row[1] for other in rows[k + 1 :] if other[1] not in want and near(row, other)}
+    assert {r.id: r.reference_id for r in QUERIES["greedy_redundancy"](spark, small).collect()} == want
+    for name in ("set_cover", "centrality"):
+        assert sorted(r.id for r in QUERIES[name](spark, small).collect()) == sorted(want)
