@@ -31,11 +31,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     The written table cuts the lineage: a later stage that loses an executor rereads the table and
-    does not rerun what made it. The files go when the driver's JVM ends.
+    does not rerun what made it. The files go when the driver's JVM ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stash`` returned and that no later plan reads."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._stashed)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
