@@ -1,9 +1,7 @@
-"""Helpers shared by the corpus operators: shared storage and per-text Arrow maps."""
+"""Helpers shared by the corpus operators: per-text Arrow maps and the library's shared tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,43 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociq.storage import discard, shared_dir, stash
+
+__all__ = ["discard", "each", "host_of", "long_fields", "map_texts", "shared_dir", "stash", "string_fields", "table", "unused"]
+
 #: Texts, and their bytes, held as Python strings at once in a worker.
 SLICE_ROWS = 512
 SLICE_BYTES = 2_000_000
 
-_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session in local mode without that setting gets a temporary folder of its own, which is
-    removed when Python ends; on a cluster the missing setting is an error.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not (context.master or "").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.TemporaryDirectory(prefix="lociq-")
-    return _local_dirs[context.applicationId].name
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    The written table cuts the lineage: a later stage that loses an executor rereads the table and
-    does not rerun what made it. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,7 +50,7 @@ def map_texts(
                 columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=schema.names)
 
-    texts = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    texts = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(unused(df, "_text")))
     return texts.mapInArrow(run, schema)
 
 

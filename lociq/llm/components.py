@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import stash
+from lociq.llm.common import discard, stash
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Rows (node, component) for every node of ``edges``, two long columns; component is the smallest node.
+    """Rows (node, component) for every node of ``edges``; component is the smallest node.
 
-    Rounds of two steps until nothing changes. In the large step each node hands its smallest neighbour
+    The two columns have one type that has an order, such as long or binary. Rounds of two steps until nothing
+    changes. In the large step each node hands its smallest neighbour
     to its larger neighbours; in the small step, to its smaller ones. Both keep connectivity, and the
     edges end as stars around each smallest node. Every round's edges are written to the shared folder, so the
-    plan stays short. A minimum is taken with partial aggregation and joined back, so that a node with
-    very many neighbours is one row on one side of the join, and Spark can split the other.
+    plan stays short, and those of the round before are deleted. A minimum is taken with partial aggregation and
+    joined back, so that a node with very many neighbours is one row on one side of the join, and Spark can split the
+    other.
 
     Edges with a null end or to the same node are ignored; direction and repeats make no difference. An
     empty table gives no rows.
@@ -25,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stash(now, "edges")
     mark = _mark(now)
     while mark[0]:
-        now = stash(_small(_large(now)), "edges")
+        before, now = now, stash(_small(_large(now)), "edges")
+        discard(before)
         if (after := _mark(now)) == mark:
             break
         mark = after
