@@ -54,8 +54,9 @@ def fingerprints(df: DataFrame, words_each: int = 5, id_col: str = "doc_id", tex
     return map_texts(df, id_col, text_col, make, long_fields("fp"))
 
 
-#: Fingerprints of one key on average at most, if bits were even.
-KEY_ROWS = 8
+#: Fingerprints of one key on average at most, if bits were even: a key compares so many with each other, which
+#: costs less than the further keys that each fingerprint needs to have fewer.
+KEY_ROWS = 64
 
 
 def spare_blocks(distance: int, n: int) -> int:
@@ -89,41 +90,55 @@ def _first_choice(differing: Column, masks: list[int]) -> Column:
 
 
 def links(classes: DataFrame, distance: int) -> DataFrame:
-    """Rows (a, b): the ``rep`` of each two different ``fp`` of ``classes`` at most ``distance`` bits apart, once."""
+    """Rows (a, b): each two different ``fp`` of ``classes`` at most ``distance`` bits apart, once."""
     masks = _masks(distance, spare_blocks(distance, classes.count()))
-    keyed = classes.select("fp", "rep", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("fp", "rep", "k.*")
+    keyed = classes.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("fp", "k.*")
     left, right = keyed.alias("l"), keyed.alias("r")
     differing = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     near = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(differing) <= distance)
     same = (F.col("l.choice") == F.col("r.choice")) & (F.col("l.bits") == F.col("r.bits"))
     found = left.join(right, same & near & (F.col("l.choice") == _first_choice(differing, masks)))
-    return found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    return found.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
+
+def _labels(fps: DataFrame, distance: int, id_col: str) -> DataFrame:
+    """Rows (fp, component_id) for every fingerprint of ``fps``."""
+    classes = stash(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+    found = stash(components(links(classes, distance)), "components")
+    least = found.join(classes, found.node == classes.fp).groupBy("component").agg(F.min("rep").alias("least"))
+    grouped = found.join(least, "component").select(F.col("node").alias("fp"), "least", F.lit(True).alias("linked"))
+    labelled = classes.join(grouped, "fp", "left")
+    return labelled.select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, words_each: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component_id): component_id is the smallest id reachable by links, the own included.
 
     Equal fingerprints are one class with its smallest id, so copies never meet in a join; only different
-    fingerprints are joined. Rows with equal ids stay. A null id belongs to its class but is never the
-    smallest, so component_id is null only where the whole class has no id. Empty tables give no rows.
-    ``id_col`` has to be a long. Other columns are not read.
+    fingerprints are joined. Rows with equal ids stay. Rows without an id link as any other, so they can connect
+    others, but are never the smallest: component_id is null only where no row of the component has an id.
+    Empty tables give no rows. ``id_col`` has to be a long. Other columns are not read. A text has to fit a
+    Python worker, which holds about 20 bytes for each of its words besides.
     """
     rows = stash(fingerprints(df, words_each, id_col, text_col), "fingerprints")
-    classes = stash(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    found = components(links(classes.where(F.col("rep").isNotNull()), distance))
-    labelled = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(labelled, "fp").select(id_col, "fp", "component_id")
+    return rows.join(_labels(rows, distance, id_col), "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, words_each: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one of the smallest id.
 
-    Rows of equal id are one document, of which one stays; rows without an id all stay.
+    Rows of equal id are one document, of which the one with the smallest hash of its columns stays; rows without
+    an id all stay. Columns can have any names.
     """
     groups = stash(near_duplicates(df, words_each, distance, id_col, text_col), "groups").where(F.col(id_col).isNotNull())
     first = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     n, ids = groups.agg(F.count("*"), F.count_distinct(id_col)).first()
-    rows = df.dropDuplicates([id_col]) if n > ids else df
+    rows = df
+    if n > ids:
+        whole = F.struct(*df.columns)
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        order = F.struct(F.sha2(text, 256), F.sha2(F.to_json(whole), 256))
+        rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_")).agg(F.min_by(whole, order).alias("row")).select("row.*")
     return rows.join(first, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
 
 
