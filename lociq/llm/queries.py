@@ -43,13 +43,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 2: line dedup ------------------------------------------------------------------------------------
 
 LINE_RATIO = 0.1
-LINE_PAGES = 5
+#: A line of one page alone is no boilerplate; by the ratio alone a host of under ten pages would lose every line.
+LINE_PAGES = 2
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     kept = line_dedup.drop_boilerplate(pages, host_of(F.col("url")), line_dedup.page_text(F.col("html")), LINE_RATIO, LINE_PAGES)
-    return kept.select("page_id", F.col("_host").alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("text_sha256"))
+    return kept.select("row.page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 # ---- 3 to 10 ------------------------------------------------------------------------------------------
