@@ -96,6 +96,21 @@ def test_simhash_against_brute_force(spark, size, distance):
     assert simhash.near_duplicates(df.limit(0), size, distance).count() == 0
 
 
+def test_simhash_without_ids_links(spark):
+    """A chain of fingerprints of which the middle one, and a whole group, has no id."""
+    chain = [(1, 0), (None, 3), (9, 15), (None, -1), (None, -4), (4, 0xF0F0F0 << 30)]
+    df = spark.createDataFrame(chain, "doc_id long, fp long")
+    got = {(r.fp): r.component_id for r in simhash._labels(df, 2, "doc_id").collect()}
+    assert got == {0: 1, 3: 1, 15: 1, -1: None, -4: None, 0xF0F0F0 << 30: 4}
+
+
+def test_one_of_equal_ids_stays_whatever_the_order(spark):
+    rows = [(5, f"text {k} of this id", k, {"a": k}) for k in range(20)] + [(6, None, None, None), (6, "", 1, None), (None, "text 0 of this id", 0, None)]
+    keep = lambda rows: sorted(map(str, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _ int, m map<string,int>").repartition(5, "_")).collect()))
+    kept = keep(rows)
+    assert len(kept) == 3 and kept == keep(rows[::-1])
+
+
 def vectors(seed=3, dim=16):
     rng = np.random.default_rng(seed)
     out = []
@@ -111,32 +126,73 @@ def vectors(seed=3, dim=16):
 def slow_links(rows, threshold):
     unit = []
     for v in rows:
-        ok = v is not None and len(v) and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0
-        unit.append(np.array(v) / np.linalg.norm(v) if ok else None)
+        ok = v is not None and len(v) and None not in v and np.isfinite(v).all() and np.any(v)
+        v = np.array(v) / np.abs(v).max() if ok else None
+        unit.append(v / np.linalg.norm(v) if ok else None)
     return [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and float(unit[a] @ unit[b]) >= threshold]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
-    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [1.0, 2.01]]
-    rows = vectors() + odd
-    df = spark.createDataFrame([(k, v, k) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, unit long")
-    edges = slow_links(rows, 0.95)
+def expected_links(rows, threshold=0.95):
+    """(id, n_links, component_id, kept) of each row of (id, vector), by comparing all pairs."""
+    edges = slow_links([v for _, v in rows], threshold)
     label = slow_components(edges + [(k, k) for k in range(len(rows))])
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(label[k], []).append(i)
+    least = {root: min((i for i in group if i is not None), default=None) for root, group in ids.items()}
     degree = [sum(k in e for e in edges) for k in range(len(rows))]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.95, nearest=8, shared_least=1, pivots=16).collect()}
-    assert got == {k: (degree[k], label[k], label[k] == k) for k in range(len(rows))}
+    return sorted((str(i), degree[k], str(least[label[k]]), i is not None and least[label[k]] == i) for k, (i, _) in enumerate(rows))
+
+
+def found_links(df, **settings):
+    return sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_vectors(df, **settings).collect())
+
+
+@pytest.mark.parametrize(("block", "shared"), [(2048, 1), (7, 1), (7, 2)])
+def test_vectors_against_brute_force(spark, monkeypatch, block, shared):
+    """Few pivots, so that all links are found, also where lists are cut by second pivots and into blocks."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [1.0, 2.01], [1e300] * 16, [1e-300] * 16]
+    rows = list(enumerate(vectors() + odd))
+    df = spark.createDataFrame([(k, v, k) for k, v in rows], "vec_id long, embedding array<double>, unit long")
+    assert found_links(df, nearest=8, shared_least=shared, pivots=12) == expected_links(rows)
+
+
+def test_vectors_without_ids_link(spark):
+    """Classes of which no row has an id count as links, connect others and take their smallest id."""
+    line = [[1.0, 0.25 * k, 0.0] for k in range(5)]
+    rows = [(None, line[0]), (9, line[1]), (None, line[2]), (None, line[2]), (4, line[3]), (4, line[3]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.01, 1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_links(df) == expected_links(rows)
+
+
+def near_pairs(n, dim, cone, seed=5):
+    """``n`` vectors around one direction (0: everywhere), and for each another at a cosine of 0.95 to 0.99."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(n, dim)))
+    a = unit(cone * unit(rng.normal(size=(1, dim))) + a)
+    side = rng.normal(size=(n, dim))
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.951, 0.99, size=(n, 1))
+    return np.vstack([a, cosine * a + np.sqrt(1 - cosine**2) * side])
+
+
+@pytest.mark.parametrize(("n", "dim", "cone", "threshold"), [(1500, 64, 0.0, 0.95), (1500, 256, 1.5, 0.95), (1000, 256, 3.4, 0.985), (400, 8, 1.0, 0.95)])
+def test_vector_recall_with_production_settings(spark, n, dim, cone, threshold):
+    """At least nine of ten links, as the query is set up, for vectors that are spread, in cones, and clustered."""
+    m = near_pairs(n, dim, cone).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>")
+    unit = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    truth = int((unit @ unit.T >= threshold).sum() - len(m))
+    found = embeddings.near_vectors(df, threshold).agg(F.sum("n_links")).first()[0]
+    assert truth > 0 and 0.9 * truth <= found <= truth
 
 
-def test_vector_recall_with_production_settings(spark):
-    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("vec_id < 3000")
-    rows = df.orderBy("vec_id").collect()
-    m = np.array([r.embedding for r in rows], dtype=np.float64)
-    m /= np.linalg.norm(m, axis=1)[:, None]
-    truth = int(((m @ m.T >= 0.95).sum() - len(m)))
-    found = embeddings.near_vectors(df).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * truth <= found <= truth
+def test_pivots_in_a_narrow_cone():
+    m = near_pairs(1000, 256, 3.4)[:1000]
+    assert len(embeddings.spread(m, 80)) == 80
+    assert len(embeddings.spread(np.vstack([m[:1]] * 50), 10)) == 1
 
 
 def test_no_vectors(spark):
@@ -174,16 +230,19 @@ def test_lines_against_brute_force(spark, monkeypatch, limit):
     rows += [("h1", None), ("alone", "only\nonly"), rows[0], rows[0], ("h1", "x" * 100_000)]
     df = spark.createDataFrame([(h, t, 5) for h, t in rows], "host string, text string, pages int")
     out = line_dedup.drop_boilerplate(df, F.col("host"), F.col("text"), 0.2, 3)
-    assert sorted(str((r._host, r._text, r._n_lines, r._n_dropped)) for r in out.collect()) == slow_lines(rows, 0.2, 3)
-    assert out.columns[:3] == df.columns
+    assert sorted(str((r.host, r.text, r.n_lines, r.n_dropped)) for r in out.collect()) == slow_lines(rows, 0.2, 3)
+    assert all(r.row.host == (r.host or r.row.host) and r.row.pages == 5 for r in out.collect())
+    alone = line_dedup.drop_boilerplate(df, F.col("host"), F.col("text"), 0.2)
+    assert sorted(str((r.host, r.text, r.n_lines, r.n_dropped)) for r in alone.collect()) == slow_lines(rows, 0.2, 1)
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("host"), F.col("text")).count() == 0
 
 
 def test_lines_with_clashing_columns(spark):
-    df = spark.createDataFrame([("h", "a\nb", 1, 2, 3, 4, 5)] * 3, "host string, text string, drop int, line int, _hit int, _host int, n int")
-    out = line_dedup.drop_boilerplate(df, F.col("host"), F.col("text"), 0.5, 3)
-    assert out.columns == ["host", "text", "drop", "line", "n", "_host", "_text", "_n_lines", "_n_dropped"]
-    assert [(r._text, r._n_lines, r._n_dropped, r.n) for r in out.collect()] == [("", 2, 2, 5)] * 3
+    names = ["host", "text", "drop", "line", "_hit", "_drop", "_host", "_text", "_n_lines", "n_lines", "pages", "row", "hit", "n"]
+    df = spark.createDataFrame([("h", "a\nb", *range(len(names) - 2))] * 3, names)
+    out = line_dedup.without_boilerplate(df, F.col("host"), "text", 0.5, 3, "n")
+    assert out.columns == names
+    assert [tuple(r) for r in out.collect()] == [("h", "", *range(len(names) - 3), 0)] * 3
 
 
 def test_page_text(spark):

@@ -43,6 +43,7 @@ def test_mix_against_brute_force(spark, share, epochs):
         d, l, s = rng.choice("aab"), rng.choice(["en", "de", None]), f"s{min(rng.randrange(12), 5)}"
         rows.append((k, d, l, s, rng.choice([0, 1, 7, 50, 300]) if s != "s4" else 1))
     rows += [(None, "a", "en", "s0", 9), (5, "b", "de", "s1", None), (6, *rows[6][1:]), (7, "a", None, None, 10_000_000)]
+    rows += [(None, "a", "de", "s1", 1 + k % 3) for k in range(300)] + [(77, "b", "en", "s2", 5)] * 100
     df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, tokens long")
     got = mixing.mix(df, "doc_id", LEVELS, weight(), share=share, max_epochs=epochs).collect()
     leaves = {}
@@ -93,9 +94,18 @@ def test_small_buckets_make_no_difference(spark, monkeypatch):
     assert sorted(mixing.mix(df, "doc_id", LEVELS, weight(), share=(1, 3)).collect()) == one
 
 
+def test_many_rows_alike(spark, monkeypatch):
+    """A leaf of one missing id: few rows until the end, and no array of all its copies."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    df = spark.range(5000).selectExpr("cast(null as long) as doc_id", "'a' as domain", "'en' as lang", "'s' as source", "2 as tokens")
+    got = mixing.mix(df, "doc_id", LEVELS, weight(), total=12_345).groupBy("epoch", "take_tokens").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 2, 5000), (1, 1, 1), (1, 2, 1172)]
+
+
 def test_take_and_empty(spark):
     docs = spark.createDataFrame([(1, "x", 5), (2, "y", 6), (None, "z", 7), (1, "x", 5)], "doc_id long, text string, epoch int")
     chosen = spark.createDataFrame([(1, 0), (1, 1), (None, 0)], "doc_id long, epoch long")
+    assert mixing.take(docs, chosen.where("doc_id = 2"), "doc_id").count() == 0
     got = mixing.take(docs, chosen, "doc_id")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id or -1), r.text) for r in got.collect()) == [(-1, "z"), (1, "x"), (1, "x"), (1, "x"), (1, "x")]

@@ -93,13 +93,17 @@ def test_pipeline_stage_by_stage(spark):
 
 
 def test_stages_with_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens string, epoch int"
+    clashing = "tokens epoch _hit _drop _host _text _n_lines _n_dropped _id _epoch _m_n_words row host drop hit key fp rep bits choice component_id weight cap budget domain".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing)
     clean = " ".join(f"word{chr(97 + k // 20)}{chr(97 + k % 20)}" for k in range(70))
     odd = [(1, clean, None, None, None, "x", 1), (1, clean, None, None, None, "x", 1), (None, clean + " more", "en", "src1", 1, None, None), (2, None, None, None, None, None, None), (3, "", "de", "", 0, "", 0), (4, " ".join(f"long{chr(97 + k // 400 % 20)}{chr(97 + k // 20 % 20)}{chr(97 + k % 20)}" for k in range(8000)), "fr", "src99999999999", 5, "y", 2)]
     for data in (odd, []):
-        docs = spark.createDataFrame(data, schema)
+        own = [(i, text, lang, source, n, *(f"{c} stays" for c in clashing)) for i, text, lang, source, n, *_ in data]
+        docs = spark.createDataFrame(own, schema)
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
+            if name != "byte-level BPE":
+                assert all(r[c] == f"{c} stays" for r in out.collect() for c in clashing), name
             if name != "byte-level BPE":
                 assert out.columns == docs.columns, name
             assert (out.count() > 0) is bool(data), name
