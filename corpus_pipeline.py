@@ -29,9 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand in too many documents of their source."""
-    kept = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"), LINE_RATIO, LINE_PAGES)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return kept.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return line_dedup.without_boilerplate(docs, F.col("source"), "text", LINE_RATIO, LINE_PAGES, "n_chars")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
