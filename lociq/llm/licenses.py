@@ -2,7 +2,8 @@
 
 A notice of which at most k letters may be wrong is cut into k + 1 pieces, one of which must stand
 unchanged in any match. Exact finds of the pieces give the words where a match can start; from each of these
-the edits to every word's end are counted, so all matches on whole words are known before overlaps go.
+a bit vector tells the words where one can end, and the regex library's bounded-error matching verifies the edits of
+each such span. So all matches on whole words are known before overlaps go.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -45,16 +47,22 @@ class Notice:
     edits: int
     seeds: tuple[tuple[int, bytes], ...]
     masks: dict[int, int]
+    pattern: regex.Pattern
 
     @classmethod
     def of(cls, text: str, label: str) -> Notice:
         edits = len(text) // LETTERS_AN_EDIT
         cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
         seeds = tuple((lo, text[lo:hi].encode()) for lo, hi in zip(cuts, cuts[1:]))
-        return cls(text, label, edits, seeds, {c: sum(1 << k for k, x in enumerate(text.encode()) if x == c) for c in text.encode()})
+        return cls(text, label, edits, seeds, {c: sum(1 << k for k, x in enumerate(text.encode()) if x == c) for c in text.encode()}, regex.compile(b"(?b)(?:%s){e<=%d}" % (regex.escape(text.encode()), edits)))
 
-    def ends(self, line: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """(edits, stop) of each match from a word's start to a word's end, by Myers' bit vectors."""
+    def verified(self, line: bytes, start: int, stop: int) -> int | None:
+        """The fewest edits that make the span from the notice, if they are allowed."""
+        match = self.pattern.fullmatch(line, start, stop)
+        return sum(match.fuzzy_counts) if match else None
+
+    def ends(self, line: bytes, start: int) -> Iterator[int]:
+        """Where a match from a word's start can end at a word's end, by Myers' bit vectors."""
         size = len(self.text)
         full, last = (1 << size) - 1, 1 << (size - 1)
         up, down, edits = full, 0, size
@@ -66,7 +74,7 @@ class Notice:
             more, less, same = (more << 1 | 1) & full, less << 1 & full, same | down
             up, down = less | ~(same | more) & full, more & same
             if edits <= self.edits and line[stop : stop + 1] in (b"", b" ") and c != 32:
-                yield edits, stop
+                yield stop
 
 
 @dataclass(frozen=True)
@@ -114,7 +122,8 @@ def find(line: bytes, notices: list[Notice]) -> list[Hit]:
                     space = line.find(b" ", space + 1, hi)
                 at = line.find(seed, at + 1)
         kept: list[tuple[int, int, int]] = []
-        for edits, start, stop in sorted((edits, start, stop) for start in starts for edits, stop in notice.ends(line, start)):
+        verified = ((notice.verified(line, start, stop), start, stop) for start in starts for stop in notice.ends(line, start))
+        for edits, start, stop in sorted(v for v in verified if v[0] is not None):
             k = bisect(kept, (start,))
             if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or stop <= kept[k][0]):
                 kept.insert(k, (start, stop, edits))
@@ -148,7 +157,7 @@ def find_licenses(df: DataFrame, base: dict[str, str] | None = None, notices: di
     share of wrong letters of the best hit, 0 without any. ``spans`` lists label:first word:word after
     the last:edits. Matches are of whole words, so all letters of their first and last word count. A null or
     empty text has no words and empty labels. Repeated rows and null ids stay; other columns are not
-    read. One pass, no shuffle.
+    read. One pass, no shuffle; a text, and its words once more, have to fit a Python worker, and time grows with its length.
     """
     base = BASE if base is None else base
     notices = NOTICES if notices is None else notices
