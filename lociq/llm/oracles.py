@@ -88,3 +88,30 @@ deduped AS (
          CASE WHEN text IS NULL THEN NULL
               ELSE coalesce(array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(drops, []), {trimmed})), chr(10)), '') END AS new_text
   FROM lines_ LEFT JOIN drops USING ({host}))"""
+
+
+def quality_sql() -> str:
+    """The ledger with the newest policy: all nine rules reject."""
+    letters = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT row_, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT row_, k, w[k] || chr(32) || w[k + 1] || chr(32) || w[k + 2] AS three FROM (SELECT row_, w, unnest(range(1, len(w) - 1)) AS k FROM parts)),
+often AS (SELECT row_, three FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT row_, count(DISTINCT place) AS n FROM (SELECT row_, unnest([k, k + 1, k + 2]) AS place FROM windows JOIN often USING (row_, three)) GROUP BY row_),
+ledger AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, {letters("#*$%&|<>")}::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+         {letters("A-Za-z")}::BIGINT AS n_letters, {letters("A-Z")}::BIGINT AS n_upper, {letters("!")}::BIGINT AS n_bangs, {letters("0-9")}::BIGINT AS n_digits
+  FROM parts LEFT JOIN repeated USING (row_)),
+bits AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_upper > 50 * n_letters THEN 64 ELSE 0 END + CASE WHEN 100 * n_bangs > 20 * n_words THEN 128 ELSE 0 END
+    + CASE WHEN 100 * n_digits > 30 * word_chars THEN 256 ELSE 0 END)::BIGINT AS fail_bits FROM ledger)
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 2::BIGINT AS policy FROM bits"""

@@ -113,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mixing": oracles.mixing_sql(MIX_SHARE, MIX_EPOCHS),
     "op2_line_dedup": oracles.line_dedup_sql(LINE_RATIO, LINE_PAGES),
+    "op3_quality_rules": oracles.quality_sql(),
 }
