@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.common import discard, stash
 
+#: Nodes that a task holds while it thins edges; beyond them it begins anew, and more edges stay.
+HELD_NODES = 500_000
+
+
+def thin(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` connect: each task leaves out those between nodes that its earlier
+    ones connect, so a group in which all are linked with all is a few edges a node before anything is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def top(x):  # noqa: ANN001, ANN202
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for batch in batches:
+            kept = []
+            for k, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if (x := top(x)) != (y := top(y)):
+                    above[x] = y
+                    kept.append(k)
+            if len(above) > HELD_NODES:
+                above.clear()
+            if kept:
+                yield batch.take(pa.array(kept))
+
+    return edges.mapInArrow(run, edges.schema)
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of ``edges``; component is the smallest node.
 
-    The two columns have one type that has an order, such as long or binary. Rounds of two steps until nothing
-    changes. In the large step each node hands its smallest neighbour
+    The two columns have one type that has an order, such as long or binary. Edges are thinned where they are;
+    then come rounds of two steps until nothing changes. In the large step each node hands its smallest neighbour
     to its larger neighbours; in the small step, to its smaller ones. Both keep connectivity, and the
     edges end as stars around each smallest node. Every round's edges are written to the shared folder, so the
     plan stays short, and those of the round before are deleted. A minimum is taken with partial aggregation and
@@ -23,8 +55,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     empty table gives no rows.
     """
     small, large = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    now = edges.where(F.col(a) != F.col(b)).select(large.alias("u"), small.alias("v")).distinct()
-    now = stash(now, "edges")
+    some = thin(edges.where(F.col(a) != F.col(b)).select(large.alias("u"), small.alias("v")))
+    now = stash(some.distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         before, now = now, stash(_small(_large(now)), "edges")
