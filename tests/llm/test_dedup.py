@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lociq.llm import embeddings, line_dedup, simhash
-from lociq.llm.components import components
+from lociq.llm.components import components, thin
 
 
 def slow_components(edges):
@@ -30,6 +30,19 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_thinned_edges_connect_the_same(spark, monkeypatch):
+    """All links of a group of 60 become a few a node in each task, and components stay, also where a task begins anew."""
+    group = [(a, b) for a in range(60) for b in range(a)]
+    rng = random.Random(3)
+    edges = group + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    kept = [tuple(r) for r in thin(df).collect()]
+    assert len(kept) <= 4 * (60 + 100) and set(kept) <= set(edges)
+    assert slow_components([e for e in kept if e[0] != e[1]]) == slow_components([e for e in edges if e[0] != e[1]])
+    names = df.select(F.col("a").cast("string").cast("binary").alias("a"), F.col("b").cast("string").cast("binary").alias("b"))
+    assert len({bytes(r.component) for r in components(names).collect()}) == len(set(slow_components([e for e in edges if e[0] != e[1]]).values()))
+
+
 def slow_fingerprint(text, size):
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w]
