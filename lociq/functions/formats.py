@@ -71,6 +71,23 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
+def reference_parts(text: Column) -> Column:
+    """source/dataset@version:profile as a struct, 'current' and 'auto' where left out; null if it is none."""
+    part = lambda k: F.nullif(F.regexp_extract(text, r"^([^/@:]+)/([^/@:]+)(?:@([^/@:]+))?(?::([^/@:]+))?$", k), F.lit(""))
+    found = F.struct(part(1).alias("source"), part(2).alias("dataset"), F.coalesce(part(3), F.lit("current")).alias("version"), F.coalesce(part(4), F.lit("auto")).alias("profile"))
+    return F.when(part(1).isNotNull(), found)
+
+
+def time_of(text: Column) -> Column:
+    """An instant from RFC 3339 or a date at midnight UTC; null for other texts."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+
+
+def version_time(text: Column) -> Column:
+    """The instant of a version YYYYMMDD_HHMMSS; null for other texts."""
+    return F.try_to_timestamp(F.regexp_extract(text, r"^(\d{8}_\d{6})$", 1), F.lit("yyyyMMdd_HHmmss"))
+
+
 def etag(sequence_version: Column, taxonomy_version: Column) -> Column:
     return F.concat(F.lit('W/"'), F.substring(sequence_version, 1, 8), F.lit("-"), F.substring(taxonomy_version, 1, 8), F.lit('"'))
 

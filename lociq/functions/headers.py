@@ -85,6 +85,15 @@ def resolution(*sources: Column) -> Column:
     return F.when(n == 0, "None").when(n == 1, "Unanimous").otherwise("Conflicted")
 
 
+def confidence(parsed: Column, mapped: Column, inferred: Column) -> Column:
+    """0.33, 0.33 and 0.34 for the sources that are there; of several, 1 if all three agree, else half the sum."""
+    there = lambda c: c.isNotNull().cast("int")
+    total = there(parsed) * 0.33 + there(mapped) * 0.33 + there(inferred) * 0.34
+    n = there(parsed) + there(mapped) + there(inferred)
+    agree = parsed.eqNullSafe(mapped) & mapped.eqNullSafe(inferred)
+    return F.round(F.when(n <= 1, total).when(agree, 1.0).otherwise(total / 2), 4)
+
+
 def discrepancy(parsed: Column, mapped: Column, inferred: Column) -> Column:
     """How three sources of a taxon disagree; null where those that are there agree."""
     differ = lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)

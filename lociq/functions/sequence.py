@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 AMBIGUOUS = "BJOUZX"
 PROTEIN_ONLY = "EFILPQXZ"
 NUCLEOTIDE = "ATGCUN"
+# Fixed value: the factor of the checksum.
+CHECKSUM_FACTOR = 0x100000001B3
 
 
 def removed(text: Column, letters: str) -> Column:
@@ -45,6 +47,39 @@ def sanitized(text: Column) -> Column:
     return F.when((F.length(clean) > 0) & (gone * 10 <= F.length(text)), clean)
 
 
+def has_ambiguous(text: Column) -> Column:
+    return text.rlike(f"(?i)[{AMBIGUOUS}]")
+
+
+def complexity(text: Column) -> Column:
+    """Entropy over 4.32 bits, about those of twenty letters; 0 for an empty text."""
+    return F.when(F.length(text) == 0, 0.0).otherwise(entropy(text) / 4.32)
+
+
+def checksum(text: Column) -> Column:
+    """64 bits as a decimal string: byte by byte, the sum so far and the byte are multiplied by a fixed factor."""
+    octets = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("decimal(3,0)"))
+    factor, size = F.lit(CHECKSUM_FACTOR).cast("decimal(13,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    step = lambda acc, b: (((acc + b) * factor) % size).cast("decimal(20,0)")
+    return F.aggregate(octets, F.lit("0").cast("decimal(20,0)"), step).cast("string")
+
+
+def export_similarity(a: Column, b: Column) -> Column:
+    """3-mer Jaccard; 0 if the lengths differ by over a fifth of the longer; equality for texts under 3 letters."""
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    close = (longer - shorter) * 5 <= longer
+    return F.when(~close, 0.0).when(shorter < 3, (a == b).cast("double")).otherwise(jaccard(kmers(a, 3), kmers(b, 3)))
+
+
+def upper(text: Column) -> Column:
+    """A to Z only, so that no letter becomes two."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def complement(text: Column) -> Column:
     return F.translate(text, "ATGCatgc", "TACGTACG")
 

@@ -81,6 +81,29 @@ def bloom_size(n: int, p: float) -> tuple[int, int]:
     return bits, max(1, round(bits / max(1, n) * math.log(2)))
 
 
+def bloom_bits(n: Column, p: float) -> Column:
+    return F.greatest(F.ceil(-n * F.log(F.lit(p)) / F.log(F.lit(2.0)) ** 2), F.lit(1)).cast("long")
+
+
+def bloom_hashes(n: Column, bits: Column) -> Column:
+    return F.greatest(F.round(bits / n * F.log(F.lit(2.0))), F.lit(1)).cast("long")
+
+
+def bloom_count(bits: Column, hashes: Column, ones: Column) -> Column:
+    """About how many keys set ``ones`` of the bits; a full filter counts as one bit short of it."""
+    return -bits * F.log(1 - F.least(ones, bits - 1) / bits) / hashes
+
+
+def with_prefix(pairs: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Pairs whose key begins so; Parquet statistics prune what can't."""
+    return pairs.where(F.col(key).startswith(prefix))
+
+
+def lookup(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows by equality with any of some values of an index column; pushed down to the scan."""
+    return rows.where(F.col(column).isin(*values))
+
+
 def chain_depth(links: DataFrame, child: str, parent: str) -> DataFrame:
     """Rows (node, depth): deltas between a chunk and the full chunk that it goes back to."""
     from lociq.operators.taxonomy import closure

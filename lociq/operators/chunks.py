@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.sampling import numbered_within
+
 #: A record's estimated size, the size from which a chunk is closed, and the records it then holds at least.
 RECORD_BYTES = 1000
 CHUNK_BYTES = 10 * 1024 * 1024
@@ -42,16 +44,52 @@ def chunk_stats(chunks: DataFrame, group: str) -> DataFrame:
 
 def interleave(rows: DataFrame, group: str, order: str) -> DataFrame:
     """``rows`` with turn: the i-th of each group, so ordering by (turn, group) deals groups out in rounds."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return numbered_within(rows, group, [order], "turn").withColumn("turn", F.col("turn") + 1)
 
 
-def size_bucket(size: Column) -> Column:
-    out = F.lit(">=100MiB")
-    for edge, label in reversed(SIZE_EDGES):
+def size_bucket(size: Column, edges: list[tuple[int, str]] | None = None, last: str = ">=100MiB") -> Column:
+    out = F.lit(last)
+    for edge, label in reversed(edges or SIZE_EDGES):
         out = F.when(size < edge, label).otherwise(out)
     return out
 
 
+def distribution(chunks: DataFrame, size: Column, category: Column) -> DataFrame:
+    """Rows (bucket, model, pathogen, environmental, other): chunks of each size by category."""
+    names = ["model", "pathogen", "environmental", "other"]
+    edges = [(n * MIB, f"<{n}MiB") for n in (1, 10, 50, 200)]
+    bucket = size_bucket(size, edges, ">=200MiB").alias("bucket")
+    return chunks.select(bucket, category.alias("_c")).groupBy("bucket").pivot("_c", names).count().fillna(0, names)
+
+
+def lookup(members: DataFrame, chunk: str, wanted: Column, size: str, least: int = 0, most: int | None = None) -> DataFrame:
+    """Rows (chunk, n_sequences, size, relevance): chunks with wanted members, of so many members at least and that size at
+    most; relevance is the wanted share. Order by it, descending."""
+    sums = members.groupBy(chunk).agg(F.count("*").alias("n_sequences"), F.sum(size).alias("size"), F.round(F.count(F.when(wanted, 1)) / F.count("*"), 6).alias("relevance"))
+    met = sums.where((F.col("relevance") > 0) & (F.col("n_sequences") >= least))
+    return met if most is None else met.where(F.col("size") <= most)
+
+
+def dedup_estimate(n: Column, stored: Column) -> Column:
+    """200 bytes for each sequence over the bytes stored, from 1 to 100."""
+    return F.least(F.greatest(n * 200.0 / stored, F.lit(1.0)), F.lit(100.0))
+
+
+def compressible(chunks: DataFrame, size: str, compressed: str) -> DataFrame:
+    """Row (n_chunks, current_size, estimated_size, saved, recommended): plain chunks over 1 KiB, taken to shrink to a third;
+    worth it from 5 million bytes on."""
+    met = chunks.where(~F.col(compressed) & (F.col(size) > 1024))
+    third = F.expr(f"{size} div 3")
+    out = met.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(size), F.lit(0)).alias("current_size"), F.coalesce(F.sum(third), F.lit(0)).alias("estimated_size"))
+    return out.withColumn("saved", F.col("current_size") - F.col("estimated_size")).withColumn("recommended", F.col("saved") > 5_000_000)
+
+
+def members_of(chunks: DataFrame, refs: str, canonical: DataFrame, representations: DataFrame, key: str) -> DataFrame:
+    """The sequences of chunks: their refs, the canonical row of each, and its representation; missing ones drop out."""
+    refs_ = chunks.select(*(c for c in chunks.columns if c != refs), F.explode(refs).alias(key))
+    return refs_.join(canonical, key).join(representations, key)
+
+
 def query(chunks: DataFrame, taxa: str, wanted: list, size: str, least: int, most: int, limit: int) -> DataFrame:
     """Chunks that hold any wanted taxon, within a size, at most ``limit`` of them by size and first columns."""
     met = chunks.where(F.arrays_overlap(F.col(taxa), F.lit(wanted)) & F.col(size).between(least, most))

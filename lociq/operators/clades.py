@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Organisms of their own category.
-MODEL_ORGANISMS = (9606, 10090, 10116, 7227, 6239, 559292, 3702, 562, 7955, 511145)
-PATHOGENS = (1280, 1773, 287, 485, 11676, 2697049)
+# Organisms of a category, and parts of names that tell it.
+MODEL_ORGANISMS = (9606, 10090, 10116, 7227, 6239, 7955, 3702, 4932, 559292, 511145, 83333, 224308)
+PATHOGENS = (1773, 1280, 573, 287, 470, 666, 662, 90371, 28901, 550, 1352, 5207, 5476, 36329, 5833, 5811, 10245, 11320, 11520, 2697049, 694009, 1335626, 11103, 10407, 11676, 11709, 10376, 10298, 10310)
+ENVIRONMENTAL = (1883, 1423, 316, 303, 1735, 1148, 1140, 146891, 312, 192, 29413, 2287, 2234)
+PATHOGEN_NAMES = ("pathogen", "virulent", "disease", "infectious", "outbreak", "epidemic", "clinical isolate", "hospital")
+ENVIRONMENTAL_NAMES = ("environmental", "uncultured", "marine", "ocean", "soil", "sediment", "freshwater", "lake", "river", "compost", "rhizosphere", "symbiont", "endophyte", "thermophil", "psychrophil", "halophil", "extremophil", "metagenom", "microbiome")
 
 
-def category(taxon: Column) -> Column:
-    """'model', 'pathogen' or 'other'."""
-    return F.when(taxon.isin(*MODEL_ORGANISMS), "model").when(taxon.isin(*PATHOGENS), "pathogen").otherwise("other")
+def category(taxon: Column, name: Column | None = None) -> Column:
+    """'model', 'pathogen', 'environmental' or 'other', the first that holds by id or by name."""
+    lower = F.lower(F.lit("") if name is None else F.coalesce(name, F.lit("")))
+    any_of = lambda words: lower.rlike("|".join(words))
+    model = taxon.isin(*MODEL_ORGANISMS) | lower.contains("model organism") | (lower.contains("laboratory") & any_of(("strain", "isolate")))
+    pathogen = taxon.isin(*PATHOGENS) | any_of(PATHOGEN_NAMES) | (lower.contains("resistant") & ~lower.contains("antibiotic-sensitive"))
+    environmental = taxon.isin(*ENVIRONMENTAL) | any_of(ENVIRONMENTAL_NAMES)
+    return F.when(model, "model").when(pathogen, "pathogen").when(environmental, "environmental").otherwise("other")
+
+
+def diversity(distances: DataFrame, cluster: str) -> DataFrame:
+    """Rows (cluster, n_pairs, diversity): the mean distance of its pairs."""
+    return distances.groupBy(cluster).agg(F.count("*").alias("n_pairs"), F.round(F.avg("distance"), 6).alias("diversity"))
+
+
+def may_cluster(pairs: DataFrame, isolated: list, most: float) -> DataFrame:
+    """``pairs`` (a, b, distance) with together: an isolated taxon only with itself, others within a distance."""
+    alone = F.col("a").isin(*isolated) | F.col("b").isin(*isolated) if isolated else F.lit(False)
+    return pairs.withColumn("together", F.when(alone, F.col("a") == F.col("b")).otherwise(F.col("distance") <= most))
+
+
+def priority(taxon: Column, n: Column, preferred: list, isolated: list) -> Column:
+    """The number of sequences, ten times it for a preferred taxon and a hundred times for an isolated one."""
+    times = lambda among, k: F.when(taxon.isin(*among), k).otherwise(1) if among else F.lit(1)
+    return (n * times(preferred, 10) * times(isolated, 100)).cast("double")
+
+
+def cluster_errors(clusters: DataFrame, cluster: str, taxon: str, n: str, isolated: list, least: int, most: int) -> DataFrame:
+    """Rows (cluster, error) of clusters that are too small, too large or hold two isolated taxa."""
+    alone = F.count_distinct(F.when(F.col(taxon).isin(*isolated), F.col(taxon)))
+    sums = clusters.groupBy(cluster).agg(F.sum(n).alias("_n"), alone.alias("_i"))
+    error = F.when(F.col("_n") < least, "too small").when(F.col("_n") > most, "too large").when(F.col("_i") > 1, "isolated taxa together")
+    return sums.select(cluster, error.alias("error")).where("error is not null")
 
 
 def by_every_rank(paths: DataFrame, ranks: DataFrame, members: DataFrame, node: str) -> DataFrame:

@@ -65,4 +65,5 @@ def resolve_conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
+    """The ``n`` rows of each key with the largest ``order``; Spark cuts each key to ``n`` rows before the shuffle."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_k") <= n).drop("_k")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lociq.functions import sequence as S
 
 # Names that stand for taxon ids in an expression.
-NAMES = {"bacteria": 2, "archaea": 2157, "eukaryota": 2759, "viruses": 10239, "human": 9606, "mouse": 10090, "fungi": 4751, "e.coli": 562, "yeast": 4932, "plants": 33090, "vertebrates": 7742}
+NAMES = {
+    "bacteria": 2, "archaea": 2157, "eukaryota": 2759, "viruses": 10239, "escherichia": 561, "escherichia coli": 562, "e. coli": 562, "homo sapiens": 9606, "human": 9606, "mus musculus": 10090, "mouse": 10090,
+    "drosophila": 7227, "drosophila melanogaster": 7227, "arabidopsis": 3702, "arabidopsis thaliana": 3702, "saccharomyces cerevisiae": 559292, "yeast": 559292,
+}
 
 _TOKEN = re.compile(r"\s*(\(|\)|\"[^\"]*\"|[^\s()]+)")
 
@@ -109,8 +112,9 @@ def by_length(rows: DataFrame, text: str, least: int = 0, most: int | None = Non
 
 
 def containing(rows: DataFrame, column: str, part: str, limit: int | None = None) -> DataFrame:
+    """Rows whose column has a literal part; with a limit, the first so many by that column."""
     met = rows.where(F.contains(F.col(column), F.lit(part)))
-    return met if limit is None else met.limit(limit)
+    return met if limit is None else met.orderBy(column).limit(limit)
 
 
 def complex_enough(rows: DataFrame, text: str, threshold: float = 0.3, least: int = 0) -> DataFrame:
@@ -123,6 +127,11 @@ def sanitize(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn(text, S.sanitized(F.col(text))).where(F.col(text).isNotNull())
 
 
+def with_short_children(children: DataFrame, reference: str, length: str, most: int = 10_000) -> DataFrame:
+    """Rows (reference, n_children) of children of that length at most; references left with none are gone."""
+    return short_children(children, length, most).groupBy(reference).agg(F.count("*").alias("n_children"))
+
+
 def short_children(children: DataFrame, length: str, most: int = 10_000) -> DataFrame:
     return children.where(F.col(length) <= most)
 

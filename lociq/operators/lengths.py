@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.sampling import numbered
+
 
 def by_length(rows: DataFrame, length: str) -> DataFrame:
     """Rows (len, n): how many rows have each length; null lengths are left out."""
@@ -41,15 +43,15 @@ def nx(lengths: DataFrame, percents: tuple[int, ...] = (50, 90)) -> DataFrame:
 def longest(rows: DataFrame, id_col: str, length: str, ratio: float) -> DataFrame:
     """Rows (id) of the floor(n * ratio) longest, ties by smaller id.
 
-    Lengths over the one where the target falls are taken whole; only rows of that one length are ranked.
+    Lengths over the one where the target falls are taken whole; only rows of that one length are ranked, by ranges
+    of ids, so very many rows of one length are many tasks.
     """
     ranked = running(by_length(rows, length), descending=True)
     target = F.expr(f"cast(floor(sum(n) over (partition by 1) * {ratio}D) as bigint)")
     cut = ranked.withColumn("target", target).withColumn("want", F.least(F.col("n"), F.greatest(F.col("target") - F.col("before"), F.lit(0))))
     wanted = cut.where("want > 0").select("len", "n", "want")
     met = rows.select(id_col, F.col(length).cast("long").alias("len")).join(wanted, "len")
-    ties = Window.partitionBy("len").orderBy(id_col)
-    some = met.where("want < n").withColumn("k", F.row_number().over(ties)).where("k <= want").select(id_col)
+    some = numbered(met.where("want < n"), [id_col], "k").where("k < want").select(id_col)
     return met.where("want = n").select(id_col).unionByName(some)
 
 

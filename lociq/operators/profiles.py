@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions.sequence import kmers
+from lociq.operators.sampling import numbered_within
 
 # Ranks and the bytes from which a chunk of that rank is wanted.
 RANK_BYTES = {"superkingdom": 100 << 20, "kingdom": 50 << 20, "phylum": 20 << 20, "class": 10 << 20, "order": 5 << 20, "family": 2 << 20, "genus": 1 << 20, "species": 500 << 10, "subspecies": 100 << 10}
@@ -26,8 +27,8 @@ def taxonomy_weight(shared: Column, depth: Column) -> Column:
 
 
 def suggested_clusters(n: Column, size: int = 1000) -> Column:
-    """n / size, from 1 to 1000."""
-    return F.least(F.greatest(F.ceil(n / size), F.lit(1)), F.lit(1000)).cast("long")
+    """The whole part of n / size, from 1 to 1000."""
+    return F.least(F.greatest(F.floor(n / size), F.lit(1)), F.lit(1000)).cast("long")
 
 
 def memory_estimate(n: Column, total: Column) -> Column:
@@ -74,8 +75,8 @@ def auto_select(rows: DataFrame, id_col: str, length: str, kmers_col: Column, ta
 
 def batched(rows: DataFrame, group: str, order: str, most: int = 1000) -> DataFrame:
     """``rows`` with batch_no: up to ``most`` deltas of a reference in each."""
-    numbered = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("batch_no", F.floor(numbered / most).cast("long"))
+    placed = numbered_within(rows, group, [order], "_place")
+    return placed.select(*rows.columns, F.expr(f"_place div {most}").cast("long").alias("batch_no"))
 
 
 def save_profile(selection: DataFrame, path: str, database: str, version: str, profile: str) -> None:

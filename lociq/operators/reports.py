@@ -7,7 +7,8 @@ import html
 import io
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Rows that a report takes; it is for aggregates, and a longer table is an error, not cut.
 LONGEST = 10_000
@@ -54,3 +55,14 @@ class Report:
         row = lambda tag, values: "<tr>" + "".join(cell(tag, v) for v in values) + "</tr>"
         tables = "".join(f"<h2>{html.escape(n)}</h2><table>{row('th', c)}{''.join(row('td', r) for r in rows)}</table>" for n, c, rows in self.sections)
         return f"<h1>{html.escape(self.title)}</h1>{tables}"
+
+
+def bars(counts: DataFrame, label: str, n: str, width: int = 40) -> DataFrame:
+    """Rows (label, bar): a bar of # for each count of a small table, the largest ``width`` long."""
+    sized = counts.withColumn("_most", F.greatest(F.max(n).over(Window.partitionBy(F.lit(1))), F.lit(1)))
+    return sized.select(label, F.repeat(F.lit("#"), F.expr(f"cast({n} * {width} div _most as int)")).alias("bar"))
+
+
+def tree_lines(places: DataFrame, depth: str, name: str, n: str) -> DataFrame:
+    """Rows (line): each node after two spaces for each step below the root, with its count."""
+    return places.select(F.concat(F.repeat(F.lit("  "), F.col(depth).cast("int")), F.col(name), F.lit(" ("), F.col(n).cast("string"), F.lit(")")).alias("line"))

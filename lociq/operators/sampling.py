@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.storage import stash
+
+
+def numbered(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """``rows`` with their place from 0 in an order, for any size: parts of a range sort are numbered by themselves
+    and moved by the counts of the parts before. ``order`` has to tell all rows apart for the same places on every run."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stash(sorted_, "numbered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*rows.columns, (F.col("_before") + own).alias(name))
+
+
+def numbered_within(rows: DataFrame, group: str, order: list, name: str = "position") -> DataFrame:
+    """``rows`` with their place from 0 within their group; a group of any size is spread over tasks."""
+    placed = stash(numbered(rows, [group, *order], name), "numbered")
+    first = placed.groupBy(F.col(group).alias("_g")).agg(F.min(name).alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_g"))).select(*rows.columns, (F.col(name) - F.col("_first")).alias(name))
+
 
 def exact_sample(rows: DataFrame, id_col: str, share: float, seed: int = 1) -> DataFrame:
     """floor(n * share) rows, those of the smallest md5 of seed and id; the same rows on every run.

@@ -127,9 +127,13 @@ def clade_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clades.clusters(counts, "node", "parent", 60)
 
 
-@query("WITH c AS (SELECT CASE WHEN p_size IN (9, 17) THEN 'x' END AS x, p_partkey, CASE WHEN p_partkey IN (9606, 10090, 10116, 7227, 6239, 559292, 3702, 562, 7955, 511145) THEN 'model' WHEN p_partkey IN (1280, 1773, 287, 485, 11676, 2697049) THEN 'pathogen' ELSE 'other' END AS category FROM part) SELECT category, count(*) AS n FROM c GROUP BY 1")
+CATEGORY_SQL = f"CASE WHEN taxon IN {clades.MODEL_ORGANISMS} THEN 'model' WHEN taxon IN {clades.PATHOGENS} OR name SIMILAR TO '.*({'|'.join(clades.PATHOGEN_NAMES)}).*' THEN 'pathogen' WHEN taxon IN {clades.ENVIRONMENTAL} OR name SIMILAR TO '.*({'|'.join(clades.ENVIRONMENTAL_NAMES)}).*' THEN 'environmental' ELSE 'other' END"
+
+
+@query(f"WITH c AS (SELECT p_partkey AS taxon, CASE WHEN p_size = 7 THEN 'marine ' WHEN p_size = 9 THEN 'Hospital ' ELSE '' END || p_name AS n FROM part), k AS (SELECT {CATEGORY_SQL.replace('name SIMILAR', 'lower(n) SIMILAR')} AS category FROM c) SELECT category, count(*) AS n FROM k GROUP BY 1")
 def organism_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(clades.category(F.col("p_partkey")).alias("category")).agg(F.count("*").alias("n"))
+    name = F.concat(F.when(F.col("p_size") == 7, "marine ").when(F.col("p_size") == 9, "Hospital ").otherwise(""), "p_name")
+    return table(spark, sf_dir, "part").groupBy(clades.category(F.col("p_partkey"), name).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH d AS ({ORACLES['taxonomy_version_diff']}), m AS (SELECT 'c:' || o_custkey AS node, count(*) AS n FROM orders GROUP BY 1) SELECT change, count(*) AS n_taxa, coalesce(sum(n), 0)::BIGINT AS n_sequences FROM d LEFT JOIN m USING (node) GROUP BY 1")

@@ -136,9 +136,9 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.sanitize(rows, "text").select("doc_id", F.length("text").cast("long").alias("clean_length"), (F.col("_n") - F.length("text")).cast("long").alias("n_removed"), F.sha2("text", 256).alias("clean_hash"))
 
 
-@query("SELECT doc_id, sha256(reverse(translate(text, 'ATGCatgc', 'TACGTACG'))) AS rc_hash, sha256(upper(text)) AS upper_hash FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, sha256(reverse(translate(text, 'ATGCatgc', 'TACGTACG'))) AS rc_hash, sha256(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS upper_hash, sha256(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lower_hash FROM documents")
 def transform_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.sha2(S.reverse_complement(F.col("text")), 256).alias("rc_hash"), F.sha2(F.upper("text"), 256).alias("upper_hash"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(S.reverse_complement(F.col("text")), 256).alias("rc_hash"), F.sha2(S.upper(F.col("text")), 256).alias("upper_hash"), F.sha2(S.lower(F.col("text")), 256).alias("lower_hash"))
 
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) = 0 THEN 'Unknown' WHEN (length(p_name) - length(translate(p_name, 'ATGCUNatgcun', ''))) * 10 > length(p_name) * 9
@@ -214,9 +214,9 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_groups(docs(spark, sf_dir), F.sha2("text", 256), "doc_id")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def orphan_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return dedup.missing(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
@@ -450,7 +450,7 @@ def nw_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARES = 64
 
 
-@query("SELECT doc_id, CASE WHEN role = 'child' THEN reference_id END AS reference_id, true AS is_equal FROM (" + SIMPLE_SELECT + ") JOIN documents USING (doc_id) WHERE role = 'child' AND n_chars < 400")
+@query("SELECT doc_id, reference_id, sha256(text) AS decoded_sha256 FROM (" + SIMPLE_SELECT + ") JOIN documents USING (doc_id) WHERE role = 'child'")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child encoded against its reference and decoded again.
 
@@ -465,7 +465,7 @@ def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = chosen.join(texts, "doc_id").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
     pairs = dealt.join(used.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["reference_id", "share"])
     coded = pairs.withColumn("ops", delta("reference", "text"))
-    return coded.select("doc_id", "reference_id", (apply_delta(F.col("reference"), F.col("ops")) == F.col("text")).alias("is_equal"))
+    return coded.select("doc_id", "reference_id", F.sha2(apply_delta(F.col("reference"), F.col("ops")), 256).alias("decoded_sha256"))
 
 
 @query("""WITH RECURSIVE l0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS pos, h FROM (SELECT DISTINCT sha256(text) AS h FROM documents)),

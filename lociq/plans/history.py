@@ -88,7 +88,7 @@ def taxonomy_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.tree_diff(old, new)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey <= 2000), r AS (SELECT l_orderkey, CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey + 1000 ELSE l_suppkey END AS t FROM m)
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), r AS (SELECT l_orderkey, CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey + 1000 ELSE l_suppkey END AS t FROM m)
 SELECT l_orderkey, string_agg(DISTINCT t::VARCHAR, ',' ORDER BY t::VARCHAR) AS taxa FROM r GROUP BY 1""")
 def taxonomy_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")

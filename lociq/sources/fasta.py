@@ -20,7 +20,16 @@ def read_fasta(spark: SparkSession, path: str, repair: bool = True, keep_empty:
     tags or begin with a number are moved to the description; after ``SV=<digits>`` the rest of a line is
     body. Records without a body go unless ``keep_empty``. Files in gz are one task each: repartition after.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
+    return _records(spark.read.option("lineSep", "\n>").text(path), repair, keep_empty)
+
+
+def parse_fasta(rows: DataFrame, column: str, repair: bool = True, keep_empty: bool = False) -> DataFrame:
+    """The records of FASTA text or bytes held in a column, as read_fasta gives them; a null has none."""
+    texts = rows.select(F.explode(F.split(F.col(column).cast("string"), "\n>")).alias("value"))
+    return _records(texts, repair, keep_empty)
+
+
+def _records(raw: DataFrame, repair: bool, keep_empty: bool) -> DataFrame:
     record = F.regexp_replace(F.regexp_replace("value", r"^>", ""), "\r", "")
     lines = F.split(record, "\n")
     head = F.get(lines, F.lit(0))
@@ -64,3 +73,11 @@ def write_sequences(rows: DataFrame, path: str, form: str = "fasta", compression
         rows.write.options(**options).json(path)
     else:
         raise ValueError(f"unknown format: {form}")
+
+
+def write_as_of(rows: DataFrame, path: str, sequence_time: str, taxonomy_time: str, roots: tuple[str, str], form: str = "fasta") -> None:
+    """A snapshot's sequences in any of the formats, and beside them, in ``path/preamble``, the lines that tell its
+    two times and roots, each after a semicolon."""
+    write_sequences(rows, f"{path}/{form}", form)
+    told = ("Bi-Temporal Export", f"Sequence Date: {sequence_time}", f"Taxonomy Date: {taxonomy_time}", f"Sequence Root: {roots[0]}", f"Taxonomy Root: {roots[1]}")
+    rows.sparkSession.createDataFrame([(f"; {line}",) for line in told], "value string").coalesce(1).write.text(f"{path}/preamble")

@@ -46,6 +46,31 @@ def read_accession2taxid(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(both).alias("accession"), F.col(f"c{taxon}").cast("long").alias("taxon_id")).where("accession is not null").distinct()
 
 
+def with_fallback(first: DataFrame, second: DataFrame, key: str = "accession") -> DataFrame:
+    """All rows of the first mapping, and those of the second whose key the first lacks."""
+    return first.unionByName(second.join(first.select(key), key, "left_anti"))
+
+
+def write_accession2taxid(rows: DataFrame, path: str) -> None:
+    """Rows (accession, version, taxon_id) as a mapping file with a header; a null taxon is 0."""
+    named = rows.select(F.col("accession"), F.concat_ws(".", "accession", F.col("version").cast("string")).alias("accession.version"), F.coalesce("taxon_id", F.lit(0)).alias("taxid"), F.lit(0).alias("gi"))
+    named.write.csv(path, sep="\t", header=True)
+
+
+def read_taxids(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (taxon_id) of files of numbers divided by commas or lines; what follows # is a comment."""
+    plain = F.regexp_replace("value", "#.*$", "")
+    words = F.filter(F.split(plain, r"[,\s]+"), lambda x: x != "")
+    return spark.read.text(path).select(F.explode(F.transform(words, lambda x: x.cast("long"))).alias("taxon_id"))
+
+
+def read_m8_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The first two columns only: rows (query, subject)."""
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(parts) >= 2))
+    return lines.select(F.get(parts, F.lit(0)).alias("query"), F.get(parts, F.lit(1)).alias("subject"))
+
+
 def read_m8(spark: SparkSession, path: str) -> DataFrame:
     """Twelve typed columns, identity from 0 to 1; comments, blank and short lines go, bad numbers are 0."""
     names = [c.split(" ") for c in M8.split(", ")]

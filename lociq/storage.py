@@ -27,18 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId].name
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     The written table cuts the lineage: a later stage that loses an executor rereads the table and
     does not rerun what made it. The files go when the driver's JVM ends, or by ``discard``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
 
@@ -48,3 +53,36 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(df._stashed)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
+
+
+def back_up(df: DataFrame, folder: str, name: str) -> None:
+    """Write a table as the backup ``name``; a backup of that name is replaced. Names order backups."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def backups(spark: SparkSession, folder: str) -> list[str]:
+    """The names of complete backups, in order; one that was cut off has no _SUCCESS file and doesn't count."""
+    return [name for name in _children(spark, folder) if "_SUCCESS" in _children(spark, f"{folder}/{name}")]
+
+
+def restore(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """The backup of that name, or the newest."""
+    found = backups(spark, folder)
+    if not found or (name is not None and name not in found):
+        raise FileNotFoundError(f"no backup {name or ''} in {folder}")
+    return spark.read.parquet(f"{folder}/{name or found[-1]}")
+
+
+def purge(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Delete all but the newest ``keep`` backups; returns the names of those deleted."""
+    gone = backups(spark, folder)[: -keep or None]
+    for name in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone

@@ -21,10 +21,11 @@ def add_batch(batch: DataFrame, batch_id: int, target: str, key: str) -> None:
     """Append the rows of a batch whose key is new, as partition ``batch`` of the target.
 
     A batch that is tried again overwrites its own partition only, so each counts once. Keys are hashed
-    content; within a batch the first row by the other columns' order stays.
+    content; within a batch the first row by the other columns' order stays. Of what is stored only the keys are read.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
+    rest = [c for c in batch.columns if c != key]
+    fresh = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*batch.columns)
     stored = _stored(spark, target)
     if stored is not None:
         fresh = fresh.join(stored.where(F.col("batch") != batch_id).select(key), key, "left_anti")
