@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.operators.sampling import numbered_within
+from lociq.operators.sampling import numbered, numbered_within, running_sum
+from lociq.storage import stash
 
 #: A record's estimated size, the size from which a chunk is closed, and the records it then holds at least.
 RECORD_BYTES = 1000
@@ -84,6 +85,44 @@ def compressible(chunks: DataFrame, size: str, compressed: str) -> DataFrame:
     return out.withColumn("saved", F.col("current_size") - F.col("estimated_size")).withColumn("recommended", F.col("saved") > 5_000_000)
 
 
+def batches_by_size(rows: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
+    """``rows`` with batch: a new one wherever the running size passes a multiple of ``most``; any number of rows."""
+    placed = stash(numbered(rows, order, "_p"), "placed")
+    summed = running_sum(placed, "_p", size)
+    return summed.select(*rows.columns, F.expr(f"(upto - {size}) div {most}").cast("long").alias("batch"))
+
+
+def merge_hierarchy(members: DataFrame, chunk: str, delta: str, seq: str) -> DataFrame:
+    """Rows (chunk, n_new, kept) for distinct rows (chunk, delta, seq): in the order of delta, then of the chunk's name, a chunk
+    is kept if over half of its sequences are in none that was kept before.
+
+    In rounds over tables: a chunk is decided once no open chunk before it shares a sequence with it.
+    """
+    rows = stash(members.select(F.col(chunk).alias("chunk"), F.struct(F.col(delta).alias("d"), F.col(chunk).alias("c")).alias("o"), F.col(seq).alias("seq")), "members")
+    sizes = stash(rows.groupBy("chunk").agg(F.count("*").alias("n")), "sizes")
+    open_, done = rows, []
+    while not open_.isEmpty():
+        first = open_.groupBy("seq").agg(F.min("o").alias("m"))
+        ready = open_.join(first, "seq").groupBy("chunk").agg(F.min((F.col("o") == F.col("m")).cast("int")).alias("r")).where("r = 1").select("chunk")
+        ready = stash(ready, "ready")
+        covered = None
+        for part in done:
+            held = part.where("kept").select("chunk")
+            covered = held if covered is None else covered.unionByName(held)
+        now = rows.join(ready, "chunk", "left_semi")
+        fresh = now if covered is None else now.join(rows.join(covered, "chunk", "left_semi").select("seq").distinct(), "seq", "left_anti")
+        counted = ready.join(fresh.groupBy("chunk").agg(F.count("*").alias("n_new")), "chunk", "left").join(sizes, "chunk")
+        decided = counted.select("chunk", F.coalesce("n_new", F.lit(0)).cast("long").alias("n_new"), (F.coalesce("n_new", F.lit(0)) > F.expr("n div 2")).alias("kept"))
+        done.append(stash(decided, "decided"))
+        open_ = stash(open_.join(ready, "chunk", "left_anti"), "open")
+    if not done:
+        return sizes.select(F.col("chunk").alias(chunk), F.col("n").alias("n_new"), F.lit(True).alias("kept"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("chunk", chunk)
+
+
 def members_of(chunks: DataFrame, refs: str, canonical: DataFrame, representations: DataFrame, key: str) -> DataFrame:
     """The sequences of chunks: their refs, the canonical row of each, and its representation; missing ones drop out."""
     refs_ = chunks.select(*(c for c in chunks.columns if c != refs), F.explode(refs).alias(key))

@@ -45,6 +45,31 @@ def shared_top(left: DataFrame, right: DataFrame, key: str, n: int = 10) -> Data
     return both.orderBy(F.desc("n_total"), key).limit(n)
 
 
+def collection_stats(old: DataFrame, new: DataFrame, length: str, taxon: str) -> DataFrame:
+    """Rows (side, n, total_length, avg_length, n_taxa, taxa) of two collections; taxa are those that only that side has."""
+    def one(side: str, rows: DataFrame, other: DataFrame) -> DataFrame:
+        own = rows.select(taxon).distinct().join(other.select(taxon).distinct(), taxon, "left_anti").agg(F.nullif(F.array_join(F.array_sort(F.collect_set(taxon)), ","), F.lit("")).alias("taxa"))
+        sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total_length"), F.count_distinct(taxon).alias("n_taxa"))
+        average = F.expr("if(n = 0, 0, total_length div n)")
+        return sums.crossJoin(own).select(F.lit(side).alias("side"), "n", "total_length", average.alias("avg_length"), "n_taxa", "taxa")  # a row each
+
+    return one("old", old, new).unionByName(one("new", new, old))
+
+
+def sync_plan(here: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Rows (key, step): what only this side has is sent, what only the other has is fetched."""
+    a, b = here.select(key).distinct(), there.select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("step", F.lit("send")).unionByName(b.join(a, key, "left_anti").withColumn("step", F.lit("fetch")))
+
+
+def migration(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows (key, step, undo, place) from one version to the next: what is new is added first, what is gone removed last."""
+    step = F.when(F.col("change") == "Added", "add").when(F.col("change") == "Removed", "remove").otherwise("replace")
+    undo = F.when(F.col("change") == "Added", "remove").when(F.col("change") == "Removed", "add").otherwise("replace")
+    place = F.when(F.col("change") == "Added", 1).when(F.col("change") == "Removed", 3).otherwise(2)
+    return compare(old, new, key, value).where("change <> 'Unchanged'").select(key, step.alias("step"), undo.alias("undo"), place.alias("place"))
+
+
 def change_log(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """The rows that bring ``old`` to ``new``: key, op (insert, update, delete) and the new value."""
     op = F.create_map(F.lit("Added"), F.lit("insert"), F.lit("Modified"), F.lit("update"), F.lit("Removed"), F.lit("delete"))

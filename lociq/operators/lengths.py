@@ -40,6 +40,11 @@ def nx(lengths: DataFrame, percents: tuple[int, ...] = (50, 90)) -> DataFrame:
     return walked.agg(*(F.max(F.when(F.col("held") >= F.floor(F.col("total") * p / 100), F.col("len"))).alias(f"n{p}") for p in percents))
 
 
+def walked(lengths: DataFrame) -> DataFrame:
+    """Add held: the characters of rows of that length or longer."""
+    return lengths.withColumn("held", F.sum(F.col("len") * F.col("n")).over(_whole().orderBy(F.desc("len"))))
+
+
 def longest(rows: DataFrame, id_col: str, length: str, ratio: float) -> DataFrame:
     """Rows (id) of the floor(n * ratio) longest, ties by smaller id.
 

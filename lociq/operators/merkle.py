@@ -46,13 +46,14 @@ def root(leaves: DataFrame, hash_col: str, duplicate: bool = False) -> DataFrame
     return n.crossJoin(found[-1].select(F.col("hash").alias("root")))
 
 
-def proof(tree: list[DataFrame], pos: int) -> list[tuple[str, str]]:
-    """The siblings from a leaf to the root, each with its side; one row is looked up in each level."""
+def proof(tree: list[DataFrame], pos: int, with_level: bool = False) -> list[tuple]:
+    """The siblings from a leaf to the root, each with its side, and before them the level if wanted; one row is looked
+    up in each level."""
     path = []
-    for level in tree[:-1]:
+    for k, level in enumerate(tree[:-1]):
         row = level.where(F.col("pos") == (pos ^ 1)).first()
         if row:
-            path.append((row["hash"], "left" if pos & 1 else "right"))
+            path.append((*[k] * with_level, row["hash"], "left" if pos & 1 else "right"))
         pos //= 2
     return path
 

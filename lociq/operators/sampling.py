@@ -28,6 +28,16 @@ def numbered_within(rows: DataFrame, group: str, order: list, name: str = "posit
     return placed.join(first, F.col(group).eqNullSafe(F.col("_g"))).select(*rows.columns, (F.col(name) - F.col("_first")).alias(name))
 
 
+def running_sum(rows: DataFrame, position: str, n: str, block: int = 100_000) -> DataFrame:
+    """``rows`` with upto: the sum of a column up to and with each place, by blocks of places and sums of the blocks before."""
+    placed = rows.withColumn("_b", F.expr(f"{position} div {block}"))
+    sums = placed.groupBy("_b").agg(F.sum(n).alias("_s"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    ahead = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("_w", F.sum(n).over(within)).join(ahead, "_b").select(*rows.columns, (F.col("_before") + F.col("_w")).alias("upto"))
+
+
 def exact_sample(rows: DataFrame, id_col: str, share: float, seed: int = 1) -> DataFrame:
     """floor(n * share) rows, those of the smallest md5 of seed and id; the same rows on every run.
 

@@ -101,6 +101,16 @@ def by_name(names: DataFrame, wanted: str) -> DataFrame:
     return names.where(F.contains(F.lower("name"), F.lit(wanted.lower()))).orderBy(exact, "node").limit(1)
 
 
+def at_rank(ranks: DataFrame, rank: str) -> DataFrame:
+    return ranks.where(F.col("rank") == rank).select("node")
+
+
+def common_rank(paths: DataFrame, ranks: DataFrame, pairs: DataFrame, close: str) -> DataFrame:
+    """Rows (a, b, common_rank, is_close): the rank of the last common ancestor, and whether it is ``close``."""
+    tops = pair_distances(paths, pairs).select("a", "b", F.col("lca").alias("node"))
+    return tops.join(ranks.select("node", "rank"), "node").select("a", "b", F.col("rank").alias("common_rank"), (F.col("rank") == close).alias("is_close"))
+
+
 def siblings(paths: DataFrame, ranks: DataFrame, rank: str) -> DataFrame:
     """Rows (ancestor, n): how many nodes share each ancestor of a rank."""
     return ancestor_at_rank(paths, ranks, rank).groupBy("ancestor").agg(F.count("*").alias("n"))

@@ -93,6 +93,19 @@ def prune(rows: DataFrame, time: str, cutoff: Column) -> DataFrame:
     return rows.where(F.col(time) >= cutoff)
 
 
+def append_history(log: DataFrame | None, records: DataFrame) -> DataFrame:
+    """A log with more records; in any order, as reading sorts them out."""
+    return records if log is None else log.unionByName(records)
+
+
+def history_between(log: DataFrame, key: list[str], time: str, written: str, start: Column, end: Column) -> DataFrame:
+    """Records of a log from ``start`` to before ``end``; of those of one key the one written last counts, so a late or
+    repeated record overwrites."""
+    met = log.where((F.col(time) >= start) & (F.col(time) < end))
+    last = met.groupBy(*key).agg(F.max_by(F.struct(*log.columns), written).alias("_r"))
+    return last.select("_r.*")
+
+
 def timeline(*parts: tuple[DataFrame, str, str]) -> DataFrame:
     """Rows (time, kind) of several tables: (table, time column, kind)."""
     frames = [df.select(F.col(time).alias("time"), F.lit(kind).alias("kind")) for df, time, kind in parts]

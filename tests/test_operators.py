@@ -151,3 +151,49 @@ def test_reduce(spark, target):
     assert all(row[0] == row[1] for row in coded.select(apply_delta(F.col("r"), F.col("ops")), "t").collect())
     children = sum(role == "child" for role, _ in roles.values())
     assert out.deltas.count() + out.long_children.count() == children > 0
+
+
+def test_greedy_and_cover_in_rounds(spark):
+    """On random graphs and a path, as one by one: rounds over tables give the same references and children."""
+    import random
+
+    from lociq.operators import select
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        n = 40
+        pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(70)) if a < b} if seed else {(k, k + 1) for k in range(n - 1)}
+        edges = [(a, b, rng.choice([0.5, 0.7, 0.9])) for a, b in sorted(pairs)]
+        length = [rng.randrange(5, 12) if seed else n - k for k in range(n)]
+        rows = spark.createDataFrame([(k, length[k]) for k in range(n)], "id long, len int")
+        frame = spark.createDataFrame(edges, "a long, b long, similarity double")
+        near = {k: {} for k in range(n)}
+        for a, b, s in edges:
+            near[a][b] = near[b][a] = s
+        want = {}
+        for i in sorted(range(n), key=lambda k: (-length[k], k)):
+            if i not in want:
+                want[i] = None
+                want.update({j: i for j in near[i] if j not in want})
+        assert {r.id: r.reference_id for r in select.greedy(rows, frame, "id", "len").collect()} == want
+        want, open_ = {}, set(range(n))
+        while open_:
+            best = max(open_, key=lambda i: (round(sum(s for j, s in near[i].items() if j in open_), 9), -i))
+            taken = {j for j in near[best] if j in open_}
+            want |= {best: None, **dict.fromkeys(taken, best)}
+            open_ -= taken | {best}
+        assert {r.id: r.reference_id for r in select.set_cover(rows, frame, "id", "len").collect()} == want
+
+
+def test_numbered_is_the_global_order(spark):
+    from lociq.operators import sampling
+
+    rows = spark.createDataFrame([(k, (k * 37) % 50, k % 3 if k % 5 else None) for k in range(500)], "id long, v int, g int")
+    got = {r.id: r.position for r in sampling.numbered(rows, ["v", "id"]).collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(((k, (k * 37) % 50) for k in range(500)), key=lambda r: (r[1], r[0])))}
+    inside = sampling.numbered_within(rows, "g", ["id"]).collect()
+    for g in (None, 0, 1, 2):
+        mine = sorted((r.position, r.id) for r in inside if r.g == g)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
+    total = {r.position: r.upto for r in sampling.running_sum(sampling.numbered(rows, ["id"]), "position", "v", block=7).collect()}
+    assert all(total[k] == sum((j * 37) % 50 for j in range(k + 1)) for k in range(500))
