@@ -16,10 +16,21 @@ def accession_index(rows: DataFrame, key: str, accessions: Column) -> DataFrame:
     return rows.select(F.explode(accessions).alias("accession"), key).distinct()
 
 
+def digest_of(rows: DataFrame, keys: list[str], hash_col: str, digits: int = 2) -> DataFrame:
+    """Rows (keys, digest) of hex hashes: those that begin alike are joined in order and hashed, and these again.
+
+    So a group of any size is in parts of one 256th of it (more digits: less), and no row holds all of its hashes.
+    """
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), ""), 256)
+    parts = rows.where(F.col(hash_col).isNotNull()).groupBy(*keys, F.substring(hash_col, 1, digits).alias("_p")).agg(joined.alias("_d"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"])
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
+
+
 def manifest(members: DataFrame, chunk: list[str], member_hash: str, taxon: str, size: str) -> DataFrame:
-    """Rows (chunk, chunk_hash, taxa, n_sequences, size); a chunk's hash is that of its members' sorted hashes."""
-    hashes = F.array_join(F.array_sort(F.collect_list(member_hash)), "")
-    return members.groupBy(*chunk).agg(F.sha2(hashes, 256).alias("chunk_hash"), F.array_join(F.array_sort(F.collect_set(taxon)), ",").alias("taxa"), F.count("*").alias("n_sequences"), F.sum(size).alias("size"))
+    """Rows (chunk, chunk_hash, taxa, n_sequences, size); a chunk's hash is the digest of its members' hashes."""
+    sums = members.groupBy(*chunk).agg(F.array_join(F.array_sort(F.collect_set(taxon)), ",").alias("taxa"), F.count("*").alias("n_sequences"), F.sum(size).alias("size"))
+    return sums.join(digest_of(members, chunk, member_hash).withColumnRenamed("digest", "chunk_hash"), chunk).select(*chunk, "chunk_hash", "taxa", "n_sequences", "size")
 
 
 def manifest_digest(index: DataFrame) -> DataFrame:
@@ -122,8 +133,8 @@ def plateau(steps: DataFrame, step: str, coverage: str, back: int = 9, gain: flo
 
 
 def dag_hashes(tree: DataFrame, node: str, parent: str, label: Column) -> DataFrame:
-    """Rows (node, hash): a leaf's hash is that of its label, an inner node's that of its label and its children's
-    hashes in order; worked out from the deepest level up, one written table a level."""
+    """Rows (node, hash): a leaf's hash is that of its label, an inner node's that of its label and the digest of its
+    children's hashes; worked out from the deepest level up, one written table a level."""
     from lociq.operators.taxonomy import closure
     from lociq.storage import stash
 
@@ -136,7 +147,7 @@ def dag_hashes(tree: DataFrame, node: str, parent: str, label: Column) -> DataFr
         if done is None:
             hashed = at.select("node", "parent", F.sha2("label", 256).alias("hash"))
         else:
-            below = done.where(F.col("level") == level + 1).groupBy(F.col("parent").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("below"))
+            below = digest_of(done.where(F.col("level") == level + 1).select(F.col("parent").alias("node"), "hash"), ["node"], "hash").withColumnRenamed("digest", "below")
             hashed = at.join(below, "node", "left").select("node", "parent", F.sha2(F.concat("label", F.coalesce("below", F.lit(""))), 256).alias("hash"))
         part = stash(hashed.withColumn("level", F.lit(level)), "dag")
         done = part if done is None else done.unionByName(part)

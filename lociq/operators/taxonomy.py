@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from lociq.storage import stash
 
 
-def closure(tree: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
+def closure(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """Rows (node, ancestor, hops), each node with itself at 0 hops.
 
     Pointers double each round, so a tree of depth d takes about log2(d) joins; each round's rows are written to
     the shared folder. A root has a null parent
-    or itself; a parent that is no node counts as an ancestor without further ones. Rounds stop at
-    ``most`` hops, so a cycle ends there.
+    or itself; a parent that is no node counts as an ancestor without further ones. Any depth will do; a cycle is an error.
     """
     edges = tree.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"))
     nodes = tree.select(F.col(node).alias("node")).unionByName(edges.select(F.col("ancestor").alias("node"))).distinct()
     reach = stash(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops")).unionByName(edges.withColumn("hops", F.lit(1))), "closure")
     far = 1
-    while far < most:
+    while True:
         # from all ancestors at ``far`` hops to those of up to twice as many
         tips = reach.where(F.col("hops") == far).select("node", F.col("ancestor").alias("mid"))
         beyond = reach.where("hops > 0").select(F.col("node").alias("mid"), "ancestor", "hops")
         more = stash(tips.join(beyond, "mid").select("node", "ancestor", (F.col("hops") + far).alias("hops")), "closure")
-        if more.isEmpty():
+        n, cycles = more.agg(F.count("*"), F.count(F.when(F.col("node") == F.col("ancestor"), 1))).first()
+        if cycles:
+            raise ValueError("the tree has a cycle")
+        if not n:
             break
         reach = reach.unionByName(more)
         far *= 2

@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.storage import stash
 
-def asof(queries: DataFrame, versions: DataFrame, q_time: str, v_time: str, value: str, bucket: str = "month") -> DataFrame:
+
+#: Rows that one task of an as-of join orders, if no single unit of time has more.
+BUCKET_ROWS = 500_000
+
+
+def asof(queries: DataFrame, versions: DataFrame, q_time: str, v_time: str, value: str, unit: str = "hour") -> DataFrame:
     """``queries`` with the value and time of the latest version at or before each query's time.
 
-    Both sides are cut into calendar buckets. Within a bucket a running last value over the merged rows
+    Both sides are cut into runs of calendar units that hold about BUCKET_ROWS rows together, found from the count of each
+    unit, so busy times are as many tasks as they need. Within a bucket a running last value over the merged rows
     finds the version; a query before its bucket's first version takes the last one of the buckets before,
     carried over one row per bucket. So no task orders a whole timeline. Of versions at the same
     time the largest value counts. No earlier version gives null. A null time matches nothing.
     """
     v = versions.where(F.col(v_time).isNotNull()).groupBy(F.col(v_time).alias("_t")).agg(F.max(value).alias("_v"))
-    v = v.withColumn("_b", F.date_trunc(bucket, "_t"))
-    q = queries.withColumn("_t", F.col(q_time)).withColumn("_b", F.date_trunc(bucket, F.col(q_time)))
+    v = v.withColumn("_u", F.date_trunc(unit, "_t"))
+    q = queries.withColumn("_t", F.col(q_time)).withColumn("_u", F.date_trunc(unit, F.col(q_time)))
+    units = v.select("_u").unionAll(q.select("_u")).where("_u is not null").groupBy("_u").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_u")) - F.col("_n")  # a row for each unit
+    runs = stash(units.select("_u", F.floor(upto / BUCKET_ROWS).alias("_b")), "units")
+    v = v.join(runs, "_u").drop("_u")
+    q = q.join(runs, "_u", "left").drop("_u")
     merged = q.withColumn("_v", F.lit(None).cast(v.schema["_v"].dataType)).withColumn("_q", F.lit(1)).unionByName(v.withColumn("_q", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy("_b").orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(F.col("_q") == 0, F.struct(F.col("_v").alias("value"), F.col("_t").alias("time")))

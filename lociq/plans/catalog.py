@@ -26,7 +26,7 @@ def accession_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.accession_index(_headers(spark, sf_dir), "p_partkey", headers.accessions(F.col("id")))
 
 
-_CHUNKS = "c AS (SELECT source, lang, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS chunk_hash, string_agg(DISTINCT lang, ',' ORDER BY lang) AS taxa, count(*) AS n_sequences, sum(n_chars)::BIGINT AS size FROM documents GROUP BY source, lang)"
+_CHUNKS = "d AS (SELECT source, lang, substr(sha256(text), 1, 2) AS p, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS part FROM documents GROUP BY ALL), dd AS (SELECT source, lang, sha256(string_agg(part, '' ORDER BY p)) AS chunk_hash FROM d GROUP BY ALL), c AS (SELECT source, lang, any_value(chunk_hash) AS chunk_hash, string_agg(DISTINCT lang, ',' ORDER BY lang) AS taxa, count(*) AS n_sequences, sum(n_chars)::BIGINT AS size FROM documents JOIN dd USING (source, lang) GROUP BY source, lang)"
 
 
 @query(f"WITH {_CHUNKS} SELECT source, lang, chunk_hash, taxa, n_sequences, size FROM c")
@@ -92,10 +92,15 @@ def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chain_depth(tree(spark, sf_dir), "node", "parent")
 
 
+def _digests(level: str, name: str) -> str:
+    """SQL for the digest of the hashes of each parent's children."""
+    return f"{name} AS (SELECT node, sha256(string_agg(part, '' ORDER BY p)) AS d FROM (SELECT parent AS node, substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS part FROM {level} GROUP BY 1, 2) GROUP BY 1)"
+
+
 @query(f"""WITH {_TREE}, l3 AS (SELECT node, parent, sha256(node) AS h FROM t WHERE rank IN ('customer', 'supplier')),
-l2 AS (SELECT node, parent, sha256(node || coalesce((SELECT string_agg(h, '' ORDER BY h) FROM l3 WHERE l3.parent = t.node), '')) AS h FROM t WHERE rank = 'nation'),
-l1 AS (SELECT node, parent, sha256(node || coalesce((SELECT string_agg(h, '' ORDER BY h) FROM l2 WHERE l2.parent = t.node), '')) AS h FROM t WHERE rank = 'region'),
-l0 AS (SELECT node, parent, sha256(node || coalesce((SELECT string_agg(h, '' ORDER BY h) FROM l1), '')) AS h FROM t WHERE rank = 'root')
+{_digests('l3', 'd3')}, l2 AS (SELECT t.node, t.parent, sha256(t.node || coalesce(d, '')) AS h FROM t LEFT JOIN d3 ON d3.node = t.node WHERE rank = 'nation'),
+{_digests('l2', 'd2')}, l1 AS (SELECT t.node, t.parent, sha256(t.node || coalesce(d, '')) AS h FROM t LEFT JOIN d2 ON d2.node = t.node WHERE rank = 'region'),
+{_digests('l1', 'd1')}, l0 AS (SELECT t.node, t.parent, sha256(t.node || coalesce(d, '')) AS h FROM t LEFT JOIN d1 ON d1.node = t.node WHERE rank = 'root')
 SELECT node, h AS hash FROM l3 UNION ALL SELECT node, h FROM l2 UNION ALL SELECT node, h FROM l1 UNION ALL SELECT node, h FROM l0""")
 def taxonomy_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.dag_hashes(tree(spark, sf_dir), "node", "parent", F.col("node"))

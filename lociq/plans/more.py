@@ -10,7 +10,7 @@ from lociq.operators import diff as D
 from lociq.plans import history
 from lociq.plans.collection import SIMPLE_SELECT, docs, simple_select
 from lociq.plans.history import _PATHS, _TREE, paths, tree
-from lociq.plans.registry import query
+from lociq.plans.registry import ORACLES, query
 from lociq.session import table
 from lociq.storage import stash
 
@@ -22,7 +22,7 @@ def _ks(k: int) -> str:
 
 
 def _edges_sql(k: int, threshold: float, ratio: float, also: str = "") -> str:
-    return f"{_ks(k)}, j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.ks, b.ks)) AS i, len(a.ks) + len(b.ks) AS n FROM s a JOIN s b ON a.item_id < b.item_id AND least(a.len, b.len) >= {ratio} * greatest(a.len, b.len)), e AS (SELECT a, b, round(i / (n - i), 6) AS similarity FROM j WHERE i >= {threshold} * (n - i){also})"
+    return f"{_ks(k)}, j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.ks, b.ks)) AS i, len(a.ks) + len(b.ks) AS n FROM s a JOIN s b ON a.item_id < b.item_id AND least(a.len, b.len) >= {ratio} * greatest(a.len, b.len) AND least(len(a.ks), len(b.ks)) >= {threshold} * greatest(len(a.ks), len(b.ks))), e AS (SELECT a, b, round(i / (n - i), 6) AS similarity FROM j WHERE i >= {threshold} * (n - i){also})"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,12 @@ def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.join(decoded, "doc_id", "left").select("doc_id", "role", "reference_id", "decoded_sha256")
 
 
+#: The same over the distinct texts of documents.
+_TEXTS = "WITH RECURSIVE x AS (SELECT min(doc_id) AS item_id, text FROM documents WHERE text IS NOT NULL GROUP BY text), "
+ORACLES["greedy_redundancy"] = _TEXTS + ORACLES["greedy_items"].removeprefix("WITH RECURSIVE ").replace(_edges_sql(3, 0.25, 0.0), _edges_sql(3, 0.7, 0.8)).replace("benchmark", "x")
+ORACLES["set_cover"] = _TEXTS + ORACLES["cover_items"].removeprefix("WITH RECURSIVE ").replace(_edges_sql(3, 0.25, 0.0), _edges_sql(3, 0.7, 0.8)).replace("benchmark", "x")
+
+
 # ---- orders, sums, plateaus ---------------------------------------------------------------------------
 
 

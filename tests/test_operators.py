@@ -197,3 +197,30 @@ def test_numbered_is_the_global_order(spark):
         assert [p for p, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
     total = {r.position: r.upto for r in sampling.running_sum(sampling.numbered(rows, ["id"]), "position", "v", block=7).collect()}
     assert all(total[k] == sum((j * 37) % 50 for j in range(k + 1)) for k in range(500))
+
+
+def test_closure_of_deep_trees_and_cycles(spark):
+    import pytest
+
+    from lociq.operators import taxonomy
+
+    deep = spark.createDataFrame([(k, k - 1 if k else None) for k in range(150)], "node int, parent int")
+    assert taxonomy.closure(deep, "node", "parent").where("node = 149").count() == 150
+    with pytest.raises(ValueError):
+        taxonomy.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node int, parent int"), "node", "parent")
+
+
+def test_asof_in_small_buckets(spark, monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    from lociq.operators import temporal
+
+    rng = random.Random(2)
+    day = lambda: datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 20))
+    queries, versions = [(k, day()) for k in range(300)] + [(300, None)], [(day(), k) for k in range(80)]
+    q, v = spark.createDataFrame(queries, "id int, t timestamp"), spark.createDataFrame(versions, "vt timestamp, v int")
+    want = {i: max(((vt, n) for vt, n in versions if t and vt <= t), default=(None, None))[1] for i, t in queries}
+    for rows in (7, 10**6):
+        monkeypatch.setattr(temporal, "BUCKET_ROWS", rows)
+        assert {r.id: r.asof_value for r in temporal.asof(q, v, "t", "vt", "v").collect()} == want
