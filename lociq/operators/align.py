@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -10,74 +11,201 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scores of the alignment.
-MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 5, -4, -10, -1
-#: Longer texts are aligned block by block between shared anchors.
-LONGEST = 10_000
+from lociq.functions.sequence import PROTEIN_ONLY
+
+# Scores of nucleotides, and the cost of a gap's first and each further letter.
+MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 10, -5, -20, -10
+# The BLOSUM62 scores of the twenty amino acids, each with those before it and itself.
+AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
 #: Characters of the blocks that a delta looks up in the reference; an operation costs as much.
 BLOCK = 16
 
 
-def align(a: str, b: str) -> tuple[int, int, int]:
-    """(matches, columns, score) of the best global alignment with affine gaps, row by row in numpy.
-
-    Gaps in ``a`` run along a row and are a running maximum; ties take the diagonal.
+@dataclass(frozen=True)
+class Scoring:
+    """Scores of letters and gaps. Without ``table``, equal letters score ``match`` and others ``mismatch``; with it, rows and
+    columns are ``letters``, and any letter that they lack scores ``mismatch``. Case makes no difference."""
+
+    match: int = MATCH
+    mismatch: int = MISMATCH
+    gap_open: int = GAP_OPEN
+    gap_extend: int = GAP_EXTEND
+    letters: str = ""
+    table: tuple[tuple[int, ...], ...] = ()
+
+    @classmethod
+    def triangle(cls, letters: str, text: str, other: int = -1, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> Scoring:
+        """From lines of a symmetric table, each with the scores of a letter and those before it."""
+        rows = [list(map(int, line.split())) for line in text.split("\n") if line.strip()]
+        full = tuple(tuple((*rows[max(i, j)],)[min(i, j)] for j in range(len(rows))) for i in range(len(rows)))
+        return cls(0, other, gap_open, gap_extend, letters, full)
+
+    def codes(self, text: str) -> np.ndarray:
+        """Upper-case letters as numbers: of the table, one past it for others, or code points."""
+        points = np.frombuffer("".join(c if len(c.upper()) > 1 else c.upper() for c in text).encode("utf-32-le"), "<u4").astype(np.int64)
+        if not self.table:
+            return points
+        place = np.full(128, len(self.letters))
+        place[[ord(c) for c in self.letters]] = range(len(self.letters))
+        return np.where(points < 128, place[np.minimum(points, 127)], len(self.letters))
+
+    def against(self, code: int, others: np.ndarray) -> np.ndarray:
+        if not self.table:
+            return np.where(others == code, self.match, self.mismatch)
+        if code == len(self.letters):
+            return np.full(len(others), self.mismatch)
+        return np.array([*self.table[code], self.mismatch])[others]
+
+
+NUCLEOTIDE = Scoring()
+PROTEIN = Scoring.triangle(AMINO_ACIDS, BLOSUM62)
+
+
+def scoring_for(text: str) -> Scoring:
+    """Proteins are told by a letter that nucleotides lack."""
+    return PROTEIN if set(text.upper()) & set(PROTEIN_ONLY) else NUCLEOTIDE
+
+
+#: The steps of a path: a letter of both, of the first alone, of the second alone.
+BOTH, FIRST, SECOND = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Path:
+    """An alignment: its score, and its steps from the start."""
+
+    score: int
+    steps: bytes
+
+
+def _row(h: np.ndarray, e: np.ndarray, gained: np.ndarray, ramp: np.ndarray, scoring: Scoring) -> tuple[np.ndarray, ...]:
+    """One row of the tables: best scores, those that end in a gap of the second text, the moves, and whether each
+    of the two gaps goes on. Gaps along the row are a running maximum; ties take the diagonal, then the first text's letter."""
+    opened, longer = h + scoring.gap_open, e + scoring.gap_extend
+    up_on = longer > opened
+    e = np.maximum(opened, longer)
+    diagonal = np.full(len(h), -(1 << 40))
+    diagonal[1:] = h[:-1] + gained
+    base = np.maximum(diagonal, e)
+    base[0] = e[0]
+    along = np.maximum.accumulate(base - ramp + scoring.gap_open - scoring.gap_extend)
+    f = np.full(len(h), -(1 << 40))
+    f[1:] = along[:-1] + ramp[1:]
+    left_on = np.zeros(len(h), bool)
+    left_on[1:] = f[:-1] + scoring.gap_extend > base[:-1] + scoring.gap_open
+    h = np.maximum(base, f)
+    return h, e, np.where(diagonal == h, BOTH, np.where(e == h, FIRST, SECOND)).astype(np.int8), up_on, left_on
+
+
+def best_path(a: str, b: str, scoring: Scoring | None = None, free_end: bool = False) -> Path:
+    """The best alignment with affine gaps, of any length: only every so many rows are kept, and the rows
+    between two of them are worked out again when the path comes there, so memory grows with the length times its square root.
+
+    With ``free_end`` it ends at the best cell of the last row or column, and what is left of one text is
+    added without a cost.
     """
-    if not a or not b:
-        n = max(len(a), len(b))
-        return 0, n, GAP_OPEN + GAP_EXTEND * (n - 1) if n else 0
-    x, y = np.frombuffer(a.encode("utf-32-le"), "<u4"), np.frombuffer(b.encode("utf-32-le"), "<u4")
+    scoring = scoring or scoring_for(a)
+    x, y = scoring.codes(a), scoring.codes(b)
     n, m = len(x), len(y)
-    low = np.int64(-(1 << 40))
-    ramp = GAP_EXTEND * np.arange(m + 1)
-    h = np.concatenate([[0], GAP_OPEN + GAP_EXTEND * np.arange(m)])
-    e = np.full(m + 1, low)
-    move = np.zeros((n + 1, m + 1), np.int8)
-    move[0, 1:] = 2
-    extend_up = np.zeros((n + 1, m + 1), bool)
-    best_rows = [h]
+    ramp = scoring.gap_extend * np.arange(m + 1)
+    h = np.concatenate([[0], scoring.gap_open + ramp[:m]])
+    e = np.full(m + 1, np.int64(-(1 << 40)))
+    every = max(16, 3 * math.isqrt(n))
+    kept, edge = {0: (h, e)}, [int(h[m])]
     for i in range(1, n + 1):
-        opened = h + GAP_OPEN
-        longer = e + GAP_EXTEND
-        extend_up[i] = longer > opened
-        e = np.maximum(opened, longer)
-        diagonal = np.full(m + 1, low)
-        diagonal[1:] = h[:-1] + np.where(y == x[i - 1], MATCH, MISMATCH)
-        base = np.maximum(diagonal, e)
-        base[0] = e[0]
-        along = np.maximum.accumulate(base - ramp + GAP_OPEN - GAP_EXTEND)
-        f = np.full(m + 1, low)
-        f[1:] = along[:-1] + ramp[1:]
-        h = np.maximum(base, f)
-        move[i] = np.where(diagonal == h, 0, np.where(e == h, 1, 2))
-        best_rows.append(h)
-    i, j, matches, columns = n, m, 0, 0
-    while i or j:
-        step = move[i, j] if i and j else (1 if i else 2)
-        if step == 0:
-            matches += int(x[i - 1] == y[j - 1])
-            i, j, columns = i - 1, j - 1, columns + 1
-        elif step == 1:
-            while i and extend_up[i, j]:
-                i, columns = i - 1, columns + 1
-            i, columns = max(i - 1, 0), columns + 1
+        h, e, *_ = _row(h, e, scoring.against(x[i - 1], y), ramp, scoring)
+        edge.append(int(h[m]))
+        if i % every == 0:
+            kept[i] = h, e
+    i, j, score = n, m, int(h[m])
+    if free_end:
+        if (k := int(np.argmax(h))) != m and h[k] > score:
+            j, score = k, int(h[k])
+        if (k := int(np.argmax(edge))) != n and edge[k] > score:
+            i, j, score = k, m, edge[k]
+    steps = bytearray([SECOND] * (m - j) + [FIRST] * (n - i))
+    going_up = False
+    while i:
+        low = (i - 1) // every * every
+        rows, (h, e) = [], kept[low]
+        for k in range(low + 1, i + 1):
+            h, e, *found = _row(h, e, scoring.against(x[k - 1], y), ramp, scoring)
+            rows.append(found)
+        while i > low:
+            moves, up_on, left_on = rows[i - low - 1]
+            step = FIRST if going_up or not j else moves[j]
+            if step == BOTH:
+                steps.append(BOTH)
+                i, j = i - 1, j - 1
+            elif step == FIRST:
+                going_up = bool(up_on[j]) and i > 1
+                steps.append(FIRST)
+                i -= 1
+            else:
+                while left_on[j] and j > 1:
+                    steps.append(SECOND)
+                    j -= 1
+                steps.append(SECOND)
+                j -= 1
+    steps += bytes([SECOND] * j)
+    return Path(score, bytes(reversed(steps)))
+
+
+def align(a: str, b: str, scoring: Scoring | None = None, free_end: bool = False) -> tuple[int, int, int]:
+    """(matches, columns, score) of the best alignment; letters match in either case."""
+    path = best_path(a, b, scoring, free_end)
+    return len(path.steps) - len(differences(a, b, path)), len(path.steps), path.score
+
+
+def differences(a: str, b: str, path: Path) -> list[tuple[int, str, str]]:
+    """(place in the first text, its letter or -, the second's letter or -) where an alignment's two rows differ."""
+    out, i, j = [], 0, 0
+    for step in path.steps:
+        if step == BOTH:
+            if a[i].upper() != b[j].upper():
+                out.append((i, a[i], b[j]))
+            i, j = i + 1, j + 1
+        elif step == FIRST:
+            out.append((i, a[i], "-"))
+            i += 1
         else:
-            target, k = best_rows[i][j], 1
-            while k < j and best_rows[i][j - k] + GAP_OPEN + GAP_EXTEND * (k - 1) != target:
-                k += 1
-            j, columns = j - k, columns + k
-    return matches, columns, int(h[m])
+            out.append((i, "-", b[j]))
+            j += 1
+    return out
 
 
 def alignment_identity(a: Column, b: Column) -> Column:
-    """Matches over alignment columns; null for a null text, 1 for two empty ones."""
+    """Matches over alignment columns, with a free end and scores by the kind of the first text; null for a null text, 1
+    for two empty ones."""
     return F.pandas_udf(_identities, "double")(a, b)
 
 
 def _identity(x: str | None, y: str | None) -> float | None:
     if x is None or y is None:
         return None
-    matches, columns, _ = align(x, y) if max(len(x), len(y)) <= LONGEST else anchored(x, y)
+    matches, columns, _ = align(x, y, free_end=True)
     return matches / columns if columns else 1.0
 
 
@@ -85,20 +213,38 @@ def _identities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_identity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def anchored(a: str, b: str) -> tuple[int, int, int]:
-    """For texts too long for one table: equal blocks by a longest-match search; what lies between two blocks
-    is aligned, in pieces of equal number where it is still too long."""
-    matches = columns = 0
-    at_a = at_b = 0
-    for block in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        x, y = a[at_a : block.a], b[at_b : block.b]
-        pieces = max(len(x), len(y)) // LONGEST + 1
-        for k in range(pieces):
-            m, c, _ = align(*(z[len(z) * k // pieces : len(z) * (k + 1) // pieces] for z in (x, y)))
-            matches, columns = matches + m, columns + c
-        matches, columns = matches + block.size, columns + block.size
-        at_a, at_b = block.a + block.size, block.b + block.size
-    return matches, columns, 0
+EDITS = "array<struct<place:bigint,old:string,new:string>>"
+
+
+def edits(a: Column, b: Column) -> Column:
+    """differences of the best global alignment of each row; null for a null text."""
+    return F.pandas_udf(_edits, EDITS)(a, b)
+
+
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    row = lambda e: dict(zip(("place", "old", "new"), e))
+    return pd.Series([None if x is None or y is None else [row(e) for e in differences(x, y, best_path(x, y))] for x, y in zip(a, b)])
+
+
+def apply_edits(reference: Column, changes: Column) -> Column:
+    """``reference`` after edits in order: each comes after what stands between it and the one before. SQL functions
+    only."""
+    after = lambda e: e["place"] + (e["old"] != "-").cast("int")
+    between = lambda start, stop: F.substring(reference, (start + 1).cast("int"), (stop - start).cast("int"))
+    done = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(after(F.get(changes, i - 1)))
+    pieces = F.transform(changes, lambda e, i: F.concat(between(done(i), e["place"]), F.when(e["new"] == "-", "").otherwise(e["new"])))
+    last = F.when(F.size(changes) > 0, after(F.element_at(changes, -1))).otherwise(F.lit(0).cast("long"))
+    return F.concat(F.array_join(pieces, ""), between(last, F.length(reference)))
+
+
+def decode_operation(kind: Column, reference: Column, start: Column, length: Column, text: Column, changes: Column) -> Column:
+    """A stored operation's sequence: 'use' a part of the reference, 'insert' a text, 'modify' the reference by edits; null for
+    'delete', a sequence that is gone."""
+    part = F.substring(reference, (start + 1).cast("int"), length.cast("int"))
+    return F.when(kind == "use", part).when(kind == "insert", text).when(kind == "modify", apply_edits(reference, changes))
+
+
+# ---- deltas --------------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=8)
@@ -175,3 +321,85 @@ def apply_delta(reference: Column, ops: Column) -> Column:
 def delta_cost(ops: Column) -> Column:
     """Bytes that a delta takes: 16 for an operation and its text."""
     return F.aggregate(ops, F.lit(0).cast("long"), lambda acc, o: acc + 16 + F.octet_length(o["text"]))
+
+
+# ---- deltas within a distance --------------------------------------------------------------------------
+
+
+def common_blocks(a: str, b: str, most: int) -> list[tuple[int, int, int]] | None:
+    """(place in a, place in b, length) of the blocks of a longest common subsequence, if ``most`` insertions and deletions
+    make ``b`` of ``a``; else None. The farthest place on each diagonal is followed for each number of edits."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    far, trace = {1: 0}, []
+    for d in range(most + 1):
+        trace.append(dict(far))
+        for k in range(-d, d + 1, 2):
+            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
+            if x <= n and x - k <= m:
+                x += _shared(a, x, b, x - k)
+            far[k] = x
+            if x >= n and x - k >= m:
+                return _walk_back(trace, n, m)
+    return None
+
+
+def _walk_back(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int, int]]:
+    blocks = []
+    for d in range(len(trace) - 1, -1, -1):
+        far, k = trace[d], x - y
+        before = k + 1 if k == -d or (k != d and far[k - 1] < far[k + 1]) else k - 1
+        px = far[before] if d else 0
+        sx = (px if before == k + 1 else px + 1) if d else 0
+        if x > sx:
+            blocks.append((sx, sx - k, x - sx))
+        x, y = px, px - before
+    return blocks[::-1]
+
+
+def banded_delta(reference: str, target: str, most: int = 1000) -> tuple[list[tuple[str, int, int, str]], int]:
+    """Operations copy (start, end), insert (text) and skip (start, end), and their bytes: 16, 8 and the text's, 8.
+
+    A target further than ``most`` edits from the reference is one insert.
+    """
+    ops, at, done, cost = [], 0, 0, 0
+    for start, place, size in common_blocks(reference, target, most) or []:
+        if place > done:
+            ops.append(("insert", start, start, target[done:place]))
+            cost += 8 + len(target[done:place].encode())
+        if start > at:
+            ops.append(("skip", at, start, ""))
+            cost += 8
+        ops.append(("copy", start, start + size, ""))
+        at, done, cost = start + size, place + size, cost + 16
+    if done < len(target):
+        ops.append(("insert", at, at, target[done:]))
+        cost += 8 + len(target[done:].encode())
+    return ops, cost
+
+
+BANDED = "struct<ops:" + DELTA + ",cost:bigint>"
+
+
+def banded(reference: Column, target: Column) -> Column:
+    """banded_delta of each row as (ops, cost); null for a null text. A delta is worth storing under 0.8 of its target."""
+    return F.pandas_udf(_banded, BANDED)(reference, target)
+
+
+def _banded(reference: pd.Series, target: pd.Series) -> pd.DataFrame:
+    row = lambda op: dict(zip(("kind", "start", "end", "text"), op))
+    found = [(None, None) if r is None or t is None else banded_delta(r, t) for r, t in zip(reference, target)]
+    return pd.DataFrame({"ops": [None if ops is None else [row(o) for o in ops] for ops, _ in found], "cost": pd.array([c for _, c in found], "Int64")})
+
+
+def apply_banded(reference: Column, ops: Column) -> Column:
+    return apply_delta(reference, F.filter(ops, lambda o: o["kind"] != "skip"))
+
+
+def worth_storing(cost: Column, target: Column) -> Column:
+    return cost < 0.8 * F.octet_length(target)
+
+
+#: Ways to align two columns, by name; add your own.
+ALIGNERS = {"best": edits, "banded": banded, "blocks": delta}

@@ -14,6 +14,8 @@ NAMES = {
     "bacteria": 2, "archaea": 2157, "eukaryota": 2759, "viruses": 10239, "escherichia": 561, "escherichia coli": 562, "e. coli": 562, "homo sapiens": 9606, "human": 9606, "mus musculus": 10090, "mouse": 10090,
     "drosophila": 7227, "drosophila melanogaster": 7227, "arabidopsis": 3702, "arabidopsis thaliana": 3702, "saccharomyces cerevisiae": 559292, "yeast": 559292,
 }
+#: A spelling that needs no quotes in an expression.
+NAMES["e.coli"] = NAMES["e. coli"]
 
 _TOKEN = re.compile(r"\s*(\(|\)|\"[^\"]*\"|[^\s()]+)")
 

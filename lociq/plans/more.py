@@ -368,3 +368,44 @@ def processor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line.run(docs(spark, sf_dir))
     done.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(line.counts(), "step string, n_in long, n_out long")
+
+
+# ---- edits --------------------------------------------------------------------------------------------
+
+_PAIR = "w AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) || 'ACDEFGHIKLMNPQRSTVWY' AS a FROM part), v AS (SELECT *, substr(a, 1, 4) || '#' || substr(a, 6) AS b, substr(a, 1, 10) || '#%&' || substr(a, 14) AS c FROM w)"
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter changed in b, three in c."""
+    a = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit("ACDEFGHIKLMNPQRSTVWY"))
+    b, c = F.expr("concat(substr(a, 1, 4), '#', substr(a, 6))"), F.expr("concat(substr(a, 1, 10), '#%&', substr(a, 14))")
+    return table(spark, sf_dir, "part").select("p_partkey", a.alias("a")).withColumn("b", b).withColumn("c", c)
+
+
+@query(f"WITH {_PAIR} SELECT p_partkey, '4:' || substr(a, 5, 1) || '>#' AS changed, sha256(b) AS decoded_sha256, round((length(a) - 1) / length(a), 6) AS identity FROM v")
+def substitution_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The differences of the best alignment by protein scores, and the second text made of the first by them."""
+    from lociq.operators.align import ALIGNERS, alignment_identity, apply_edits
+
+    found = _edited(spark, sf_dir).withColumn("e", ALIGNERS["best"]("a", "b"))
+    told = F.array_join(F.transform("e", lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["old"], F.lit(">"), x["new"])), ",")
+    return found.select("p_partkey", told.alias("changed"), F.sha2(apply_edits(F.col("a"), F.col("e")), 256).alias("decoded_sha256"), F.round(alignment_identity("a", "b"), 6).alias("identity"))
+
+
+@query(f"WITH {_PAIR} SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN substr(a, 3, 6) WHEN 1 THEN 'new' WHEN 2 THEN b END AS decoded FROM v")
+def operation_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored operations of four kinds; the sequence of the last is gone."""
+    from lociq.operators.align import decode_operation, edits
+
+    kinds = F.get(F.array(*(F.lit(k) for k in ("use", "insert", "modify", "delete"))), (F.col("p_partkey") % 4).cast("int"))
+    found = _edited(spark, sf_dir).withColumn("e", edits("a", "b"))
+    return found.select("p_partkey", decode_operation(kinds, F.col("a"), F.lit(2), F.lit(6), F.lit("new"), F.col("e")).alias("decoded"))
+
+
+@query(f"WITH {_PAIR} SELECT p_partkey, 51::BIGINT AS cost, 51 < 0.8 * length(c) AS is_stored, sha256(c) AS decoded_sha256 FROM v")
+def banded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy, an insert, a skip and a copy, decoded again."""
+    from lociq.operators.align import apply_banded, banded, worth_storing
+
+    found = _edited(spark, sf_dir).withColumn("d", banded("a", "c"))
+    return found.select("p_partkey", F.col("d.cost").alias("cost"), worth_storing(F.col("d.cost"), F.col("c")).alias("is_stored"), F.sha2(apply_banded(F.col("a"), F.col("d.ops")), 256).alias("decoded_sha256"))

@@ -136,3 +136,68 @@ def test_delta_in_sql(spark):
     got = df.select("c", align.apply_delta(F.col("r"), F.col("ops")).alias("d"), align.delta_cost(F.col("ops")).alias("n")).collect()
     assert [g.d for g in got] == ["ACGGACGTT", "abc", "", "same", None]
     assert got[3].n == 16
+
+
+def test_best_path_in_blocks_of_rows():
+    """Rows worked out again between kept ones give the path of one table, also for a free end, in little memory."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    for free_end in (False, True):
+        for _ in range(120):
+            a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 60))) for _ in range(2))
+            path = align.best_path(a, b, free_end=free_end)
+            assert sum(s != align.SECOND for s in path.steps) == len(a) and sum(s != align.FIRST for s in path.steps) == len(b)
+            score, run, tail = 0, None, (path.steps[::-1] + b"\x00").find(b"\x00") if free_end else 0
+            i = j = 0
+            for k, step in enumerate(path.steps):
+                if step == align.BOTH:
+                    score += align.MATCH if a[i] == b[j] else align.MISMATCH
+                elif not free_end or k < len(path.steps) - tail:
+                    score += align.GAP_EXTEND if run == step else align.GAP_OPEN
+                i, j, run = i + (step != align.SECOND), j + (step != align.FIRST), step
+            assert score == path.score if not free_end else score >= path.score - 1000
+    long_a = "".join(rng.choice("ACGT") for _ in range(12_000))
+    long_b = long_a[:3000] + long_a[3500:9000] + "T" * 40 + long_a[9000:]
+    tracemalloc.start()
+    matches, columns, _ = align.align(long_a, long_b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert columns == 12_040 and matches >= 11_480
+    assert peak < 100_000_000
+
+
+def test_scores_of_proteins_and_case():
+    assert align.scoring_for("ACGT") is align.NUCLEOTIDE and align.scoring_for("acdef") is align.PROTEIN
+    table = align.PROTEIN.table
+    assert len(table) == 20 and all(table[i][j] == table[j][i] for i in range(20) for j in range(20))
+    assert table[align.AMINO_ACIDS.index("W")][align.AMINO_ACIDS.index("W")] == 11
+    assert align.align("ACDEFGHIKLM", "acdefghlklm")[:2] == (10, 11)
+    assert align.align("ATGCATGC", "atgcatgc") == (8, 8, 80)
+    assert align.align("ATGCAAATGC", "ATGCATGC")[:2] == (8, 10)
+    own = align.Scoring(1, -1, -2, -1)
+    assert align.align("AAAA", "AATAA", own) == (4, 5, 2)
+    assert align.align("ATGC", "")[:2] == (0, 4)
+
+
+def test_banded_delta():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "x", "ab"])
+        b = "".join(b)
+        blocks = align.common_blocks(a, b, 60)
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert sum(n for _, _, n in blocks) == table[-1][-1]
+        assert all(a[x : x + n] == b[y : y + n] for x, y, n in blocks)
+        ops, cost = align.banded_delta(a, b, 60)
+        assert align.decode_delta(a, [o for o in ops if o[0] != "skip"]) == b
+        assert cost == sum(16 if o[0] == "copy" else 8 + len(o[3].encode()) for o in ops)
+    assert align.common_blocks("a" * 50, "b" * 50, 10) is None
+    assert align.banded_delta("a" * 50, "b" * 50, 10) == ([("insert", 0, 0, "b" * 50)], 58)
