@@ -35,6 +35,37 @@ def broken(states: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame
     return states.withColumn("_e", error).where("_e is not null").select("*", "_e.error", "_e.recovery").drop("_e")
 
 
+#: How a file's first bytes tell its compression.
+MAGIC = {"28B52FFD": "zstd", "1F8B": "gzip", "425A68": "bzip2", "50415231": "parquet"}
+
+
+def codec_of(content: Column) -> Column:
+    """The compression of bytes by how they begin, else 'plain'."""
+    head = F.hex(F.substring(content, 1, 4))
+    out = F.lit("plain")
+    for magic, name in MAGIC.items():
+        out = F.when(head.startswith(magic), name).otherwise(out)
+    return out
+
+
+def storage_analysis(chunks: DataFrame, key: str, size: str, compressed: str) -> DataFrame:
+    """Row (n_chunks, total_size, dedup_savings, compression_savings, recommended): repeated chunks but for one each, and two
+    thirds of plain chunks over 1 KiB; worth it from a million and from five million bytes on."""
+    counted = chunks.groupBy(key).agg(F.count("*").alias("_k"), F.max(size).alias("_s"), F.max(compressed).alias("_c"))
+    third = F.expr("_s div 3")
+    plain = ~F.col("_c") & (F.col("_s") > 1024)
+    zero = F.lit(0)
+    sums = counted.agg(F.coalesce(F.sum("_k"), zero).alias("n_chunks"), F.coalesce(F.sum("_s"), zero).alias("total_size"), F.coalesce(F.sum(F.col("_s") * (F.col("_k") - 1)), zero).alias("dedup_savings"), F.coalesce(F.sum(F.when(plain, F.col("_s") - third)), zero).alias("compression_savings"))
+    names = F.array_compact(F.array(F.when(F.col("dedup_savings") > 1_000_000, "deduplication"), F.when(F.col("compression_savings") > 5_000_000, "compression")))
+    return sums.withColumn("recommended", F.array_join(names, ","))
+
+
+def throughput(events: DataFrame, kind: str, seconds: str, hit: Column, slow: float) -> DataFrame:
+    """Rows (kind, n, mean_seconds, hit_rate, bottleneck): what takes longer than ``slow`` on average, or is found less than half the time."""
+    sums = events.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg(seconds), 6).alias("mean_seconds"), F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"))
+    return sums.withColumn("bottleneck", F.when(F.col("mean_seconds") > slow, "latency").when(F.col("hit_rate") < 0.5, "misses"))
+
+
 def progress(done: DataFrame, n_all: int, at: str, expires: Column, stored: tuple[str, str], current: tuple[str, str]) -> DataFrame:
     """Row (n_all, n_done, percent, is_expired, can_resume) of a job over ``n_all`` chunks, ``done`` a row each.
 

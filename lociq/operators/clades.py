@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.taxonomy import pair_distances
+
 # Organisms of a category, and parts of names that tell it.
 MODEL_ORGANISMS = (9606, 10090, 10116, 7227, 6239, 7955, 3702, 4932, 559292, 511145, 83333, 224308)
 PATHOGENS = (1773, 1280, 573, 287, 470, 666, 662, 90371, 28901, 550, 1352, 5207, 5476, 36329, 5833, 5811, 10245, 11320, 11520, 2697049, 694009, 1335626, 11103, 10407, 11676, 11709, 10376, 10298, 10310)
@@ -23,6 +25,31 @@ def category(taxon: Column, name: Column | None = None) -> Column:
     return F.when(model, "model").when(pathogen, "pathogen").when(environmental, "environmental").otherwise("other")
 
 
+def attached(counts: DataFrame, paths: DataFrame, preferred: list, least: int, most: int, near: float = 0.3) -> DataFrame:
+    """Rows (node, cluster) of counts (node, n): preferred nodes, and those of ``least`` rows at least, are anchors of clusters
+    of their own; every other node goes to the nearest anchor under a distance of ``near``, ties by name, as long as the
+    cluster stays within ``most`` rows, nodes in order of their names; the rest are clusters by themselves.
+
+    Only pairs under a common ancestor that is near enough for such a distance are compared, never all with all.
+    """
+    is_anchor = (F.col("n") >= least) | (F.col("node").isin(*preferred) if preferred else F.lit(False))
+    marked = counts.select("node", "n", is_anchor.alias("_a"))
+    deepest = paths.agg(F.max("hops") + 1).first()[0] or 1
+    close = paths.where(F.col("hops") <= F.lit(2 * near * deepest))
+    side = lambda anchor, name: marked.where(F.col("_a") == anchor).select("node").join(close, "node").select(F.col("node").alias(name), "ancestor")
+    pairs = side(False, "a").join(side(True, "b"), "ancestor").select("a", "b").distinct()
+    met = pair_distances(paths, pairs).where(F.col("distance") < near)
+    best = met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("distance", "b")).alias("m")).select("node", F.col("m.b").alias("_to"))
+    wanted = marked.where(~F.col("_a")).join(best, "node", "left")
+    room = marked.where("_a").select(F.col("node").alias("_to"), F.col("n").alias("_own"))
+    held = F.sum("n").over(Window.partitionBy("_to").orderBy("node"))
+    placed = wanted.where("_to is not null").withColumn("_held", held).join(room, "_to")
+    fits = F.col("_own") + F.col("_held") <= most
+    out = placed.select("node", F.when(fits, F.col("_to")).otherwise(F.col("node")).alias("cluster"))
+    alone = wanted.where("_to is null").select("node", F.col("node").alias("cluster"))
+    return out.unionByName(alone).unionByName(marked.where("_a").select("node", F.col("node").alias("cluster")))
+
+
 def diversity(distances: DataFrame, cluster: str) -> DataFrame:
     """Rows (cluster, n_pairs, diversity): the mean distance of its pairs."""
     return distances.groupBy(cluster).agg(F.count("*").alias("n_pairs"), F.round(F.avg("distance"), 6).alias("diversity"))

@@ -409,3 +409,58 @@ def banded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = _edited(spark, sf_dir).withColumn("d", banded("a", "c"))
     return found.select("p_partkey", F.col("d.cost").alias("cost"), worth_storing(F.col("d.cost"), F.col("c")).alias("is_stored"), F.sha2(apply_banded(F.col("a"), F.col("d.ops")), 256).alias("decoded_sha256"))
+
+
+# ---- clusters, files and metrics ----------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT 'n:' || c_nationkey AS node, n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), m AS (SELECT *, n >= (SELECT avg(n) FROM n) OR node = 'n:0' AS a FROM n), b AS (SELECT r, min(node) AS to_ FROM m WHERE a GROUP BY r),
+w AS (SELECT m.*, b.to_, sum(m.n) OVER (PARTITION BY b.to_ ORDER BY m.node) AS held FROM m LEFT JOIN b USING (r) WHERE NOT a)
+SELECT node, node AS cluster FROM m WHERE a UNION ALL SELECT w.node, CASE WHEN w.to_ IS NOT NULL AND o.n + held <= 4 * (SELECT avg(n) FROM n) THEN w.to_ ELSE w.node END FROM w LEFT JOIN m o ON o.node = w.to_""")
+def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with many customers, and those near them."""
+    n = stash(table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("node")).agg(F.count("*").alias("n")), "counts")
+    mean = n.agg(F.avg("n")).first()[0]
+    nations = tree(spark, sf_dir).where("rank in ('root', 'region', 'nation')")
+    return clades.attached(n, taxonomy.closure(nations, "node", "parent"), ["n:0"], mean, 4 * mean, 0.4)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'zstd' WHEN 1 THEN 'gzip' WHEN 2 THEN 'parquet' ELSE 'plain' END AS codec FROM part")
+def chunk_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.get(F.array(*(F.lit(h) for h in ("28B52FFD", "1F8B", "50415231", "00"))), (F.col("p_partkey") % 4).cast("int"))
+    content = F.concat(F.unhex(head), F.encode("p_name", "utf-8"))
+    return table(spark, sf_dir, "part").select("p_partkey", checks.codec_of(content).alias("codec"))
+
+
+@query("SELECT 1::BIGINT AS n_files, count(*) AS n_rows, sum(o_totalprice)::DECIMAL(18,2)::DOUBLE AS total FROM orders")
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of forty files as one."""
+    from lociq import storage
+
+    small, large = storage.scratch(spark, "small"), storage.scratch(spark, "large")
+    table(spark, sf_dir, "orders").repartition(40).write.parquet(small)
+    storage.compact(spark, small, large)
+    n = storage.files(spark, large, "*.parquet").agg(F.count("*").alias("n_files"))
+    return n.crossJoin(spark.read.parquet(large).agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total")))  # one row each
+
+
+@query("WITH c AS (SELECT sha256(text) AS h, count(*) AS k, max(n_chars) AS s, bool_or(lang = 'en') AS c FROM documents GROUP BY 1), m AS (SELECT sum(k)::BIGINT AS n_chunks, sum(s)::BIGINT AS total_size, sum(s * (k - 1))::BIGINT AS dedup_savings, sum(CASE WHEN NOT c AND s > 1024 THEN s - s // 3 ELSE 0 END)::BIGINT AS compression_savings FROM c) SELECT *, concat_ws(',', CASE WHEN dedup_savings > 1000000 THEN 'deduplication' END, CASE WHEN compression_savings > 5000000 THEN 'compression' END) AS recommended FROM m")
+def storage_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select(F.sha2("text", 256).alias("h"), "n_chars", (F.col("lang") == "en").alias("c"))
+    return checks.storage_analysis(rows, "h", "n_chars", "c")
+
+
+@query("WITH s AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_seconds, round(avg((user_id % 3 = 0)::INT), 6) AS hit_rate FROM events GROUP BY 1) SELECT *, CASE WHEN mean_seconds > 50 THEN 'latency' WHEN hit_rate < 0.5 THEN 'misses' END AS bottleneck FROM s")
+def throughput_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.throughput(table(spark, sf_dir, "events"), "event_type", "value", F.col("user_id") % 3 == 0, 50.0)
+
+
+@query("SELECT 'part-' || o_orderstatus AS name, true AS has_rows FROM orders GROUP BY 1")
+def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a store by folder, without reading them."""
+    from lociq import storage
+
+    folder = storage.scratch(spark, "store")
+    table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("part-"), "o_orderstatus").alias("name")).write.partitionBy("name").parquet(folder)
+    found = storage.files(spark, folder, "*.parquet")
+    return found.groupBy(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name")).agg((F.sum("length") > 0).alias("has_rows"))

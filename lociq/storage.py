@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -61,6 +62,20 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
 
 
+def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Rows (path, length) of the files below a folder of any store that Spark reads; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length")
+
+
+def compact(spark: SparkSession, folder: str, into: str, file_bytes: int = 128 << 20) -> int:
+    """Write a Parquet table of many small files as files of about that size; returns their number."""
+    total = files(spark, folder, "*.parquet").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(1, -(-total // file_bytes))
+    spark.read.parquet(folder).repartition(n).write.option("compression", "zstd").parquet(into)
+    return n
+
+
 def back_up(df: DataFrame, folder: str, name: str) -> None:
     """Write a table as the backup ``name``; a backup of that name is replaced. Names order backups."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,6 +48,25 @@ def text_stream(spark: SparkSession, path: str, files_each: int = 1) -> DataFram
     return raw.where(F.trim("value") != "").select(F.regexp_extract(record, r"^(\S*)", 1).alias("id"), F.regexp_replace(F.regexp_replace(record, r"^[^\n]*", ""), r"\s", "").alias("sequence")).withColumn("seq_hash", F.sha2("sequence", 256))
 
 
+def with_retry(work: Callable[[], object], tries: int = 3, first_wait: float = 0.5, factor: float = 2.0, most_wait: float = 30.0, errors: tuple = (OSError,), wait: Callable[[float], None] = time.sleep) -> object:
+    """What ``work`` gives, tried again after growing waits on the errors named; the last error surfaces."""
+    for k in range(tries):
+        try:
+            return work()
+        except errors:
+            if k == tries - 1:
+                raise
+            wait(min(most_wait, first_wait * factor**k))
+    raise ValueError("tries has to be 1 or more")
+
+
+def next_batch_size(size: int, seconds: float, wanted: float, memory_share: float = 0.0, least: int = 1, most: int = 100_000) -> int:
+    """Files of the next batch: in proportion to the time wanted, doubled or halved at most; halved where over four fifths of the
+    memory is taken."""
+    scale = 0.5 if memory_share > 0.8 else min(2.0, max(0.5, wanted / max(seconds, 1e-9)))
+    return max(least, min(most, round(size * scale)))
+
+
 def window_counts(events: DataFrame, time: str, kind: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts of event kinds in windows of event time. An addition: the stored history has no event-time windows."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")

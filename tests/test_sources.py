@@ -81,3 +81,30 @@ def test_batch_retry(spark, tmp_path):
     ingest.add_batch(batch, 1, str(tmp_path / "t"), "seq_hash")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert spark.read.parquet(str(tmp_path / "t")).where(F.col("batch") == 1).count() == 0
+
+
+def test_retry_and_batch_size():
+    import pytest
+
+    tried, waits = [], []
+
+    def work():
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert ingest.with_retry(work, tries=4, first_wait=1, wait=waits.append) == "done" and waits == [1, 2]
+    with pytest.raises(OSError):
+        ingest.with_retry(lambda: (_ for _ in ()).throw(OSError("never")), tries=2, wait=waits.append)
+    with pytest.raises(KeyError):
+        ingest.with_retry(lambda: {}["x"], wait=waits.append)
+    assert [ingest.next_batch_size(100, s, 10) for s in (1, 8, 10, 1000)] == [200, 125, 100, 50]
+    assert ingest.next_batch_size(100, 1, 10, memory_share=0.9) == 50 and ingest.next_batch_size(1, 100, 1) == 1
+
+
+def test_first_row_of_a_batch_stays(spark, tmp_path):
+    rows = [("k", 5, "b"), ("k", 3, "z"), ("j", 9, "a")]
+    for n, data in enumerate((rows, rows[::-1])):
+        ingest.add_batch(spark.createDataFrame(data, "key string, n int, t string").repartition(3), 0, str(tmp_path / str(n)), "key")
+        assert sorted((r.key, r.n, r.t) for r in spark.read.parquet(str(tmp_path / str(n))).collect()) == [("j", 9, "a"), ("k", 3, "z")]
