@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.storage import stash
@@ -39,11 +39,30 @@ def levels(leaves: DataFrame, hash_col: str, duplicate: bool = False) -> list[Da
     return out
 
 
+def _up_many(level: DataFrame, steps: int, duplicate: bool) -> DataFrame:
+    """``steps`` levels at once: 2^steps neighbours are one row and are paired in it; only the last can be odd."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"])
+    groups = level.groupBy(F.shiftright("pos", steps).alias("pos")).agg(ordered.alias("a"))
+
+    def pair(nodes: Column, i: Column) -> Column:
+        left, right = F.get(nodes, 2 * i), F.get(nodes, 2 * i + 1)
+        both = lambda other: F.sha2(F.concat(F.unhex(left), F.unhex(other)), 256)
+        return F.when(right.isNotNull(), both(right)).otherwise(both(left) if duplicate else left)
+
+    half = lambda nodes, _: F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: pair(nodes, i))
+    return groups.select("pos", F.get(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), "a", half), F.lit(0)).alias("hash"))
+
+
 def root(leaves: DataFrame, hash_col: str, duplicate: bool = False) -> DataFrame:
-    """Row (n_leaves, root); no row without leaves."""
-    found = levels(leaves, hash_col, duplicate)
-    n = found[0].agg(F.count("*").alias("n_leaves"))
-    return n.crossJoin(found[-1].select(F.col("hash").alias("root")))
+    """Row (n_leaves, root); no row without leaves. Eight levels are one job."""
+    level = stash(numbered(leaves, hash_col), "merkle")
+    n = level.agg(F.count("*").alias("n_leaves"))
+    left = level.count()
+    while left > 1:
+        steps = min(8, (left - 1).bit_length())
+        level = stash(_up_many(level, steps, duplicate), "merkle")
+        left = (left + (1 << steps) - 1) >> steps
+    return n.crossJoin(level.select(F.col("hash").alias("root")))
 
 
 def proof(tree: list[DataFrame], pos: int, with_level: bool = False) -> list[tuple]:

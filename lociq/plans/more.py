@@ -18,7 +18,8 @@ from lociq.storage import stash
 
 
 def _ks(k: int) -> str:
-    return f"s AS (SELECT item_id, length(text) AS len, list_distinct(list_transform(range(1, length(text) - {k} + 2), lambda i: substr(text, i, {k}))) AS ks FROM benchmark)"
+    letters = " || ".join(f"c[i + {j}]" if j else "c[i]" for j in range(k))
+    return f"s AS (SELECT item_id, len(c) AS len, list_distinct(list_transform(range(1, len(c) - {k} + 2), lambda i: {letters})) AS ks FROM (SELECT item_id, regexp_extract_all(text, '(?s).') AS c FROM benchmark))"
 
 
 def _edges_sql(k: int, threshold: float, ratio: float, also: str = "") -> str:
