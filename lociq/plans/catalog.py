@@ -180,10 +180,10 @@ def rare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.rare(docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n")), "n", 60)
 
 
-@query("""WITH w AS (SELECT item_id, text, unnest(range(1, length(text) - 18, greatest(length(text) // 100, 1))) AS i FROM benchmark WHERE length(text) >= 20), m AS (SELECT item_id, i, (SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT unnest(regexp_extract_all(substr(w.text, i, 20), '(?s).')) AS c) GROUP BY c)) AS fullest FROM w)
-SELECT item_id, count(*) AS n_windows, count(*) FILTER (fullest > 4) AS n_low FROM m GROUP BY 1""")
+@query("""WITH w AS (SELECT doc_id, letters, unnest(range(1, len(letters) - 18, greatest(len(letters) // 100, 1))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS letters FROM documents WHERE length(text) >= 20)), c AS (SELECT doc_id, i, unnest(letters[i:i + 19]) AS letter FROM w), k AS (SELECT doc_id, i, letter, count(*) AS k FROM c GROUP BY ALL), m AS (SELECT doc_id, i, max(k) AS fullest FROM k GROUP BY ALL)
+SELECT doc_id, count(*) AS n_windows, count(*) FILTER (fullest > 4) AS n_low FROM m GROUP BY 1""")
 def low_complexity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.low_complexity_windows(table(spark, sf_dir, "benchmark"), "item_id", "text", most=4)
+    return stats.low_complexity_windows(docs(spark, sf_dir), "doc_id", "text", most=4)
 
 
 @query()

@@ -113,11 +113,11 @@ def high_diversity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT item_id, length(text) AS len, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM benchmark), k AS (SELECT item_id, len, ch, count(*) AS n FROM c GROUP BY ALL)
-SELECT item_id, round(sum(-(n / len) * log2(n / len)), 6) AS entropy, round(sum(-(n / len) * log2(n / len)) / log2(len), 6) AS normalised FROM k GROUP BY item_id, len""")
+WITH c AS (SELECT doc_id, length(text) AS len, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents WHERE length(text) > 1), k AS (SELECT doc_id, len, ch, count(*) AS n FROM c GROUP BY ALL)
+SELECT doc_id, round(sum(-(n / len) * log2(n / len)), 6) AS entropy, round(sum(-(n / len) * log2(n / len)) / log2(len), 6) AS normalised FROM k GROUP BY doc_id, len""")
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "benchmark").where(F.length(text) > 1).select("item_id", F.round(S.entropy(text), 6).alias("entropy"), F.round(S.normalised_entropy(text), 6).alias("normalised"))
+    return docs(spark, sf_dir).where(F.length(text) > 1).select("doc_id", F.round(S.entropy(text), 6).alias("entropy"), F.round(S.normalised_entropy(text), 6).alias("normalised"))
 
 
 @query("""
