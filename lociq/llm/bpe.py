@@ -305,6 +305,8 @@ class Codec:
         self.cuts = pattern == BYTE_LEVEL_PATTERN
         self.pieces = Held(self._pack_pieces, PIECES_HELD)
         self.units = Held(self._pack_units, UNITS_HELD)
+        #: A piece that is a token is that token, even if no merges lead to it.
+        self.whole = vocabulary.ranks
         tokens = [vocabulary.token.get(k, b"") for k in range(max(vocabulary.token) + 1)]
         self._sizes = np.array([len(t) for t in tokens])
         self._starts = np.cumsum(self._sizes) - self._sizes
@@ -313,9 +315,9 @@ class Codec:
     def _pack_pieces(self, pieces: list[str]) -> list[bytes]:
         """Short pieces go through the batch in groups of like length, long ones one by one."""
         data = [piece.encode() for piece in pieces]
-        reach, found = self.vocabulary.reach, {}
+        found: dict[bytes, bytes] = {}
         for x in data:
-            if (whole := reach.get(x, -1)) >= 0:
+            if (whole := self.whole.get(x, -1)) >= 0:
                 found[x] = struct.pack("<I", whole)
             elif len(x) > BATCH_BYTES:
                 ids = PrefixTable(self.pairs, x).ids()
@@ -381,7 +383,11 @@ class EncodedText:
             at += len(piece)
 
     def ids(self) -> list[int]:
-        return [token for _, _, states in self.pieces for token in states.ids()]
+        out: list[int] = []
+        for _, piece, states in self.pieces:
+            whole = self.codec.whole.get(piece.encode())
+            out += states.ids() if whole is None else [whole]
+        return out
 
 
 _codecs: dict[int, Codec] = {}
@@ -398,7 +404,8 @@ def _codec(shared: Broadcast) -> Codec:
 def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str = BYTE_LEVEL_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids binary, n_tokens): each text's ids as little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids. A very long pre-token takes time in proportion to its length.
+    Null and empty texts have no ids. A very long pre-token takes time in proportion to its length, and a text with its ids
+    has to fit a Python worker.
     Repeated rows and null ids stay; other columns are not read. The vocabulary (one file's tokens,
     of fixed size) is broadcast; the texts are neither shuffled nor gathered.
     """

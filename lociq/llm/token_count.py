@@ -199,7 +199,7 @@ def count_tokens(df: DataFrame, model_json: str, limit: int = 1024, id_col: str
     """Rows (id, n_bytes, n_tokens, over_limit) for a byte-level ``tokenizers`` file's content.
 
     Null and empty texts have 0 bytes and tokens. Special strings inside a text count one token each,
-    as the library reads them by default. Repeated rows and null ids stay; other columns are not read.
+    as the library reads them by default. A text has to fit a Python worker; time grows with its length. Repeated rows and null ids stay; other columns are not read.
     The proof runs once on the driver over the vocabulary; it and the merges (one file, of fixed size)
     are broadcast. Nothing is shuffled.
     """

@@ -151,3 +151,16 @@ def test_whole_tokens_are_proved(counter, model_json):
         except UnicodeDecodeError:
             continue
         assert len(tokenizer.model.tokenize(tokenizer.pre_tokenizer.pre_tokenize_str(text)[0][0])) == 1 or len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) > 1
+
+
+def test_tokens_that_no_merges_reach():
+    """The library takes a piece that is a token whole; inside other pieces only merges count."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b" abc": 258}
+    library = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(bpe.Vocabulary(ranks), public_tokenizers.PATTERN)
+    for text in ("abc", "abc abc", "xabc", "abcabc", "bc abc abcx", "", "a bc"):
+        assert codec.encode(text) == library.encode_ordinary(text), text
+        grown = bpe.EncodedText(codec)
+        for c in text:
+            grown.append(c)
+        assert grown.ids() == library.encode_ordinary(text), text
