@@ -24,12 +24,14 @@ def closure(tree: DataFrame, node: str, parent: str) -> DataFrame:
         tips = reach.where(F.col("hops") == far).select("node", F.col("ancestor").alias("mid"))
         beyond = reach.where("hops > 0").select(F.col("node").alias("mid"), "ancestor", "hops")
         more = stash(tips.join(beyond, "mid").select("node", "ancestor", (F.col("hops") + far).alias("hops")), "closure")
-        n, cycles = more.agg(F.count("*"), F.count(F.when(F.col("node") == F.col("ancestor"), 1))).first()
+        same, met = F.col("node") == F.col("ancestor"), F.col("hops") == 2 * far
+        n, cycles, farthest = more.agg(F.count("*"), F.count(F.when(same, 1)), F.count(F.when(met, 1))).first()
         if cycles:
             raise ValueError("the tree has a cycle")
-        if not n:
+        if n:
+            reach = reach.unionByName(more)
+        if not farthest:
             break
-        reach = reach.unionByName(more)
         far *= 2
     return reach
 
