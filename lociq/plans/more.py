@@ -440,9 +440,10 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small, large = storage.scratch(spark, "small"), storage.scratch(spark, "large")
     table(spark, sf_dir, "orders").repartition(40).write.parquet(small)
-    storage.compact(spark, small, large)
+    storage.compact(spark, small, large, one_file=True)
     n = storage.files(spark, large, "*.parquet").agg(F.count("*").alias("n_files"))
-    return n.crossJoin(spark.read.parquet(large).agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total")))  # one row each
+    total = F.round(F.sum(F.col("o_totalprice").cast("decimal(28,10)")), 2).cast("double")  # sums of doubles depend on their order
+    return n.crossJoin(spark.read.parquet(large).agg(F.count("*").alias("n_rows"), total.alias("total")))  # one row each
 
 
 @query("WITH c AS (SELECT sha256(text) AS h, count(*) AS k, max(n_chars) AS s, bool_or(lang = 'en') AS c FROM documents GROUP BY 1), m AS (SELECT sum(k)::BIGINT AS n_chunks, sum(s)::BIGINT AS total_size, sum(s * (k - 1))::BIGINT AS dedup_savings, sum(CASE WHEN NOT c AND s > 1024 THEN s - s // 3 ELSE 0 END)::BIGINT AS compression_savings FROM c) SELECT *, concat_ws(',', CASE WHEN dedup_savings > 1000000 THEN 'deduplication' END, CASE WHEN compression_savings > 5000000 THEN 'compression' END) AS recommended FROM m")
