@@ -380,7 +380,8 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A letter changed in b, three in c."""
     a = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit("ACDEFGHIKLMNPQRSTVWY"))
     b, c = F.expr("concat(substr(a, 1, 4), '#', substr(a, 6))"), F.expr("concat(substr(a, 1, 10), '#%&', substr(a, 14))")
-    return table(spark, sf_dir, "part").select("p_partkey", a.alias("a")).withColumn("b", b).withColumn("c", c)
+    dealt = table(spark, sf_dir, "part").select("p_partkey", a.alias("a")).repartition("p_partkey")  # a small file may be few tasks
+    return dealt.withColumn("b", b).withColumn("c", c)
 
 
 @query(f"WITH {_PAIR} SELECT p_partkey, '4:' || substr(a, 5, 1) || '>#' AS changed, sha256(b) AS decoded_sha256, round((length(a) - 1) / length(a), 6) AS identity FROM v")
@@ -399,7 +400,7 @@ def operation_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.operators.align import decode_operation, edits
 
     kinds = F.get(F.array(*(F.lit(k) for k in ("use", "insert", "modify", "delete"))), (F.col("p_partkey") % 4).cast("int"))
-    found = _edited(spark, sf_dir).withColumn("e", edits("a", "b"))
+    found = _edited(spark, sf_dir).withColumn("e", edits(F.when(kinds == "modify", F.col("a")), F.col("b")))
     return found.select("p_partkey", decode_operation(kinds, F.col("a"), F.lit(2), F.lit(6), F.lit("new"), F.col("e")).alias("decoded"))
 
 
