@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lociq.llm.common import long_fields, map_texts
-from lociq.llm.pretoken import BYTE_LEVEL_PATTERN, Held, cut, splitter
+from lociq.llm.pretoken import BYTE_LEVEL_PATTERN, Held, splitter
 
 #: Later than any merge.
 NEVER = 1 << 60
-#: Entries that a worker's caches may hold; they bound memory, not results.
-PIECES_HELD = 100_000
-UNITS_HELD = 100_000
+#: Entries that a generation of a worker's cache may hold; they bound memory, not results.
+PIECES_HELD = 200_000
 #: Strings that are merged together, and the longest among them.
 BATCH_ROWS = 16_384
 BATCH_BYTES = 48
@@ -154,7 +153,6 @@ class Counter:
         self.split = splitter(BYTE_LEVEL_PATTERN)
         self.batch = MergeBatch(merges)
         self.pieces = Held(self._count_pieces, PIECES_HELD)
-        self.units = Held(lambda units: self._count_split([" " + u for u in units]), UNITS_HELD)
 
     def _count_pieces(self, pieces: list[str]) -> list[int]:
         data = [piece.encode() for piece in pieces]
@@ -164,17 +162,11 @@ class Counter:
             found.update(zip(rest[k : k + BATCH_ROWS], self.batch.counts(rest[k : k + BATCH_ROWS])))
         return [found[x] for x in data]
 
-    def _count_split(self, texts: list[str]) -> list[int]:
+    def _plain(self, texts: list[str]) -> list[int]:
         split = list(map(self.split, texts))
         counts = self.pieces.prepare(set().union(*split))
         return [sum(map(counts.__getitem__, pieces)) for pieces in split]
 
-    def _plain(self, texts: list[str]) -> list[int]:
-        cuts = [cut(text) for text in texts]
-        whole = dict(zip(keys := list({c[0] if c else t for c, t in zip(cuts, texts)}), self._count_split(keys)))
-        units = self.units.prepare(set().union(*(c[1] for c in cuts if c)))
-        return [whole[c[0]] + sum(map(units.__getitem__, c[1])) if c else whole[t] for c, t in zip(cuts, texts)]
-
     def _between(self, text: str) -> list[str]:
         """What lies before, between and after the special strings in the text, the longest first where
         two start together; so there is one special string fewer than there are parts."""
