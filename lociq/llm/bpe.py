@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociq.llm.common import each, long_fields, map_texts, string_fields
-from lociq.llm.pretoken import BYTE_LEVEL_PATTERN, Held, cut, splitter
+from lociq.llm.pretoken import BYTE_LEVEL_PATTERN, Held, splitter
 
-#: Entries that a worker's caches may hold; they bound memory, not results.
-PIECES_HELD = 100_000
-UNITS_HELD = 100_000
+#: Entries that a worker's caches may hold (of pieces, each generation); they bound memory, not results.
+PIECES_HELD = 200_000
 PAIRS_HELD = 500_000
+#: Bits of a pair's place in a table of pairs, where a later pair takes the place of an earlier one.
+PAIR_BITS = 20
 #: Strings whose prefix tables are made together, and the longest among them.
 BATCH_ROWS = 8_192
 BATCH_BYTES = 48
@@ -204,8 +205,8 @@ class PrefixBatch:
         keys = np.array([nodes[p[:-1]] << 8 | p[-1] for p in words.reach], np.int64)
         self._build(keys, np.arange(1, len(nodes)))
         self.sizes = np.array([len(words.token.get(k, b"")) for k in range(max(words.token) + 1)])
-        self._known = np.empty(0, np.int64)
-        self._stable = np.empty(0, bool)
+        self._known = np.full(1 << PAIR_BITS, -1, np.int64)
+        self._stable = np.zeros(1 << PAIR_BITS, bool)
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open hash table of the trie's edges, filled so that every probe is vectorised."""
@@ -239,20 +240,20 @@ class PrefixBatch:
         return found
 
     def _are_stable(self, asked: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self._known, asked)
-        known = at < self._known.size
-        known[known] = self._known[at[known]] == asked[known]
-        if not known.all():
-            new = np.unique(asked[~known])
-            if self._known.size > PAIRS_HELD:
-                self._known, self._stable = np.empty(0, np.int64), np.empty(0, bool)
-            stable = self.pairs.vocabulary.stable
-            both = np.concatenate([self._known, new])
-            values = np.concatenate([self._stable, np.array([stable(q >> 32, q & 0xFFFFFFFF) for q in new.tolist()], bool)])
-            order = np.argsort(both, kind="stable")
-            self._known, self._stable = both[order], values[order]
-            return self._are_stable(asked)
-        return self._stable[at]
+        at = self._place(asked)
+        found = self._stable[at]
+        other = np.flatnonzero(self._known[at] != asked)
+        if other.size:
+            new, back = np.unique(asked[other], return_inverse=True)
+            stable = np.array([self.pairs[q] for q in new.tolist()], bool)
+            found[other] = stable[back]
+            at, first = np.unique(self._place(new), return_index=True)
+            self._known[at], self._stable[at] = new[first], stable[first]
+        return found
+
+    def _place(self, pairs: np.ndarray) -> np.ndarray:
+        mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def pack(self, strings: list[bytes]) -> list[bytes]:
         """The packed ids of each string, for non-empty strings longest first."""
@@ -302,9 +303,7 @@ class Codec:
         self.pairs = Pairs(vocabulary)
         self.batch = PrefixBatch(self.pairs)
         self.split = splitter(pattern)
-        self.cuts = pattern == BYTE_LEVEL_PATTERN
         self.pieces = Held(self._pack_pieces, PIECES_HELD)
-        self.units = Held(self._pack_units, UNITS_HELD)
         #: A piece that is a token is that token, even if no merges lead to it.
         self.whole = vocabulary.ranks
         tokens = [vocabulary.token.get(k, b"") for k in range(max(vocabulary.token) + 1)]
@@ -327,20 +326,11 @@ class Codec:
             found.update(zip(rest[k : k + BATCH_ROWS], self.batch.pack(rest[k : k + BATCH_ROWS])))
         return [found[x] for x in data]
 
-    def _pack_units(self, units: list[str]) -> list[bytes]:
-        return self._pack_split([" " + unit for unit in units])
-
-    def _pack_split(self, texts: list[str]) -> list[bytes]:
+    def pack_all(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.split, texts))
         packed = self.pieces.prepare(set().union(*split))
         return [b"".join(map(packed.__getitem__, pieces)) for pieces in split]
 
-    def pack_all(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(text) if self.cuts else None for text in texts]
-        whole = dict(zip(keys := list({c[0] if c else t for c, t in zip(cuts, texts)}), self._pack_split(keys)))
-        units = self.units.prepare(set().union(*(c[1] for c in cuts if c)))
-        return [whole[c[0]] + b"".join(map(units.__getitem__, c[1])) if c else whole[t] for c, t in zip(cuts, texts)]
-
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.pack_all([text])[0], "<u4").tolist()
 

@@ -53,19 +53,6 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
-def cut(text: str) -> tuple[str, list[str]] | None:
-    """The text before its first space, and the units after each space, without it.
-
-    A space between two characters that aren't white space always starts a new match of the byte-level
-    pattern, so each part can be split by itself. None for a text with a space at an end or other white
-    space beside one: that has to be split whole.
-    """
-    if _CROSSING(text):
-        return None
-    first, *rest = text.split(" ")
-    return first, rest
-
-
 class Held:
     """Values for keys, remembered in two generations of ``most`` entries each.
 
