@@ -426,7 +426,7 @@ def greedy_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.set_cover(*_selection(spark, sf_dir))
+    return select.set_cover_tiles(*_selection_tiles(spark, sf_dir), "doc_id")
 
 
 @query()
