@@ -414,9 +414,16 @@ def _selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return rows, similarity.block_pairs(rows, "doc_id", "text", 3, SIMILAR, LENGTH_RATIO), "doc_id", "len"
 
 
+#: Ids that are copied to all tasks rather than joined.
+COPIED_IDS = 1 << 20
+
+
 def _selection_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = stash(distinct_texts(spark, sf_dir), "texts")
-    return rows, *similarity.block_tiles(rows, "doc_id", "text", 3, SIMILAR, LENGTH_RATIO)
+    """The ids of distinct texts, and the members and tiles of their blocks; texts are read where they lie, and up to COPIED_IDS not dealt out."""
+    all_ = docs(spark, sf_dir).where("text IS NOT NULL")
+    ids = stash(all_.groupBy(F.sha2("text", 256).alias("_h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "ids")
+    rows = all_.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= COPIED_IDS else ids, "doc_id", "left_semi")
+    return ids, *similarity.block_tiles(rows, "doc_id", "text", 3, SIMILAR, LENGTH_RATIO)
 
 
 @query()
